@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphquarry.llm import quality
+from graphquarry.llm import jaccard, pii, quality
 from graphquarry.llm.common import table
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op9_factorisation_quality": op9_factorisation_quality,
 }
 
