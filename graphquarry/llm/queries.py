@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphquarry.llm import jaccard, pii, quality
+from graphquarry.llm import bpe, jaccard, mixing, pii, quality
 from graphquarry.llm.common import table
 
 
@@ -16,6 +16,17 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,6 +34,8 @@ def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_cube_mixing": op7_cube_mixing,
     "op9_factorisation_quality": op9_factorisation_quality,
 }
 
