@@ -8,8 +8,9 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphquarry.llm import quality
+from graphquarry.llm import bpe, jaccard, mixing, pii, quality
 from graphquarry.llm.common import stage_table, table
 
 
@@ -18,8 +19,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by 5-word shingles at 0.8 or more."""
+    return jaccard.one_of_each(docs, n=5, percent=80)
+
+
+def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by format-preserving pseudonyms.
+
+    ``n_chars`` stays right because every pseudonym is as long as its original
+    (only IPv4 addresses may change by a few digits, so it is counted anew).
+    """
+    out = pii.pseudonymise(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw the documents so that the sources reach their target weights."""
+    return mixing.mixed(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of every drawn document."""
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(docs, ranks, public_tokenizers.PATTERN)
+
+
 STAGES = [
-    ("quality", quality_stage),
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("PII", pseudonym_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE", token_stage),
 ]
 
 #: The stages hold a trained model, so SQL cannot express the rows.
