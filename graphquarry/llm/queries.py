@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphquarry.llm import bpe, jaccard, mixing, pii, quality
+from graphquarry.llm import ann, bpe, chat, jaccard, mixing, pii, quality
 from graphquarry.llm.common import table
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
+def op4_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,8 @@ def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op1_tool_call_linking": op1_tool_call_linking,
+    "op4_cross_polytope_search": op4_cross_polytope_search,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_cube_mixing": op7_cube_mixing,
     "op9_factorisation_quality": op9_factorisation_quality,
