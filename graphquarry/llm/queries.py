@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphquarry.llm import ann, bpe, chat, jaccard, mixing, pii, quality
+from graphquarry.llm import ann, bpe, chat, jaccard, licences, mixing, pii, quality, webp
 from graphquarry.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +55,8 @@ QUERIES = {
     "op4_cross_polytope_search": op4_cross_polytope_search,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_cube_mixing": op7_cube_mixing,
+    "op8_lossless_webp": op8_lossless_webp,
+    "op10_licence_dice": op10_licence_dice,
     "op9_factorisation_quality": op9_factorisation_quality,
 }
 
