@@ -6,8 +6,13 @@ text keeps its words' positions in packed form, and what is shuffled by word
 holds each word once per block, however common it is. The words of a block are
 ordered by hash bucket; one row holds a block's words of one bucket.
 
-    seq rows    kind 0: block, row data, packed codes
+    text rows   kind 0: block, row data, packed codes
     word rows   kind 1: block, bucket, packed words, packed counts
+
+Each kind is made in its own pass over the texts, so that nothing needs to be
+written twice. Both passes cut the same input partitions into the same blocks;
+a block's id holds a checksum of its words, and a text whose block has no words
+raises an error, so an input that changes between the passes is noticed.
 """
 
 from __future__ import annotations
@@ -18,7 +23,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +75,8 @@ def buckets_for(docs: DataFrame) -> int:
     return max(1024, 4 * docs.rdd.getNumPartitions())
 
 
-def encode(docs: DataFrame, cut: Callable[[], Callable[[str], list]], to_bytes: Callable, n_buckets: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of ``docs`` (doc_id, flag, text); a null text has no words of its own.
+def encode(docs: DataFrame, cut: Callable[[], Callable[[str], list]], to_bytes: Callable, n_buckets: int, kinds: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The ``kinds`` ("texts" or "words") rows of ``docs`` (doc_id, flag, text).
 
     ``cut()`` is called in the worker and gives the function that cuts a text
     into words; ``to_bytes`` turns a word into bytes. A word row's ``extra``
@@ -81,37 +85,41 @@ def encode(docs: DataFrame, cut: Callable[[], Callable[[str], list]], to_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = cut()
-        block = TaskContext.get().partitionId() << 24
+        serial = None
         codes, held, chars = _Codes(), [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal block, codes, held, chars
+            nonlocal serial, codes, held, chars
             words = [to_bytes(w) for w in codes]
             at = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
             order = np.argsort(at, kind="stable")
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
             counts = np.zeros(len(words), np.int64)
+            block = (serial << 32 | zlib.crc32(b"\n".join(words))) & (1 << 63) - 1
             rows = []
             for doc_id, flag, code in held:
                 seq = place[code]
-                if flag:
+                if flag and kinds == "words":
                     counts += np.bincount(seq, minlength=len(words)) if len(seq) * 8 > len(words) else 0
                     if len(seq) * 8 <= len(words):
                         np.add.at(counts, seq, 1)
-                rows.append((0, block, 0, doc_id, flag, len(seq), pack(seq), None))
+                if kinds == "texts":
+                    rows.append((0, block, 0, doc_id, flag, len(seq), pack(seq), None))
                 if len(rows) >= 500:
                     yield batch(rows)
                     rows = []
             ordered = [words[i] for i in order]
             cuts = np.searchsorted(at[order], np.arange(n_buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
+            for b in np.flatnonzero(np.diff(cuts)) if kinds == "words" else ():
                 lo, hi = cuts[b], cuts[b + 1]
                 rows.append((1, block, int(b), None, None, int(hi - lo), pack_words(ordered[lo:hi]), pack(counts[lo:hi])))
             yield batch(rows)
-            block, codes, held, chars = block + 1, _Codes(), [], 0
+            serial, codes, held, chars = serial + 1, _Codes(), [], 0
 
         for b in batches:
+            if serial is None and b.num_rows:
+                serial = b.column("part")[0].as_py() << 8
             for doc_id, flag, text in zip(b.column("doc_id").to_pylist(), b.column("flag").to_pylist(), b.column("text")):
                 text = text.as_py() or ""
                 if held and chars + len(text) > block_chars:
@@ -122,16 +130,17 @@ def encode(docs: DataFrame, cut: Callable[[], Callable[[str], list]], to_bytes:
         if held:
             yield from close()
 
-    return docs.select("doc_id", "flag", "text").mapInArrow(run, SCHEMA)
+    # the input's own partition, wherever this pass stands in a stage
+    return docs.select("doc_id", "flag", "text", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)
 
 
-def by_bucket(encoded: DataFrame) -> DataFrame:
-    return encoded.where("kind = 1").repartition("bucket").sortWithinPartitions("bucket", "block")
+def by_bucket(word_rows: DataFrame) -> DataFrame:
+    return word_rows.repartition("bucket").sortWithinPartitions("bucket", "block")
 
 
-def by_block(encoded: DataFrame, word_rows: DataFrame) -> DataFrame:
+def by_block(text_rows: DataFrame, word_rows: DataFrame) -> DataFrame:
     """Each block's word rows, by bucket, then its texts."""
-    rows = word_rows.select(*encoded.columns).union(encoded.where("kind = 0"))
+    rows = word_rows.select(*text_rows.columns).union(text_rows)
     return rows.repartition("block").sortWithinPartitions("block", F.desc("kind"), "bucket")
 
 
@@ -157,6 +166,8 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Iterator]]
         def texts():
             nonlocal nxt
             while nxt is not None and nxt[1] == block:
+                if not words and nxt[5]:
+                    raise RuntimeError("the input changed between two passes over it; write it to a table first")
                 yield nxt
                 nxt = next(stream, None)
 

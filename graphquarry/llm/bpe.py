@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphquarry.llm import blocks as B
-from graphquarry.llm.common import sorted_runs, stage_table
+from graphquarry.llm.common import sorted_runs
 
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters only are cut by ``re``, which is the faster one.
@@ -102,11 +102,15 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | Non
             yield r[3], flat[np.repeat(start[seq] - ends + n, n) + np.arange(total)]
 
 
+def _utf8(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
+
+
 def _encoded(docs: DataFrame, ranks, pattern: str) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("flag"), "text")
-    enc = stage_table(B.encode(d, lambda: cutter(pattern), str.encode, B.buckets_for(d)))
-    ids = B.by_bucket(enc).mapInArrow(lambda x: _merge(x, ranks.value), B.SCHEMA)
-    return B.by_block(enc, ids)
+    words, texts = (B.encode(d, lambda: cutter(pattern), _utf8, B.buckets_for(d), kinds) for kinds in ("words", "texts"))
+    ids = B.by_bucket(words).mapInArrow(lambda x: _merge(x, ranks.value), B.SCHEMA)
+    return B.by_block(texts, ids)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
