@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphquarry.llm import ann, bpe, chat, jaccard, licences, mixing, pii, quality, webp
+from graphquarry.llm import ann, bpe, chat, jaccard, licences, maxent, mixing, pii, quality, webp
 from graphquarry.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_tool_call_linking": op1_tool_call_linking,
     "op4_cross_polytope_search": op4_cross_polytope_search,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_hashed_maxent": op6_hashed_maxent,
     "op7_cube_mixing": op7_cube_mixing,
     "op8_lossless_webp": op8_lossless_webp,
     "op10_licence_dice": op10_licence_dice,
