@@ -150,13 +150,9 @@ class Lowering:
             sub = inner.lower(q["scalar"]["plan"])
             if len(sub.columns) != 1 or sub.columns[0][2].kind != "Vector" or kind.a and sub.columns[0][2].a not in (None, kind.a):
                 raise InvalidArgument(f"a knn query gives one {kind}, not {', '.join(str(c[2]) for c in sub.columns)}")
-            # one row by the rules of scalar queries: fetched once, so that the scan gets a literal
-            rows = sub.df.select(f"`{sub.columns[0][1]}`").limit(2).collect()
-            if len(rows) > 1:
-                raise InvalidArgument("scalar subquery returned more than one row")
-            if not rows or rows[0][0] is None:
-                raise InvalidArgument("knn query vector is null")
-            df = f.df.withColumn("__q", X.literal_column([float(x) for x in rows[0][0]]))
+            found = sub.df.select(f"`{sub.columns[0][1]}`").scalar()  # run once, then a literal
+            none = F.raise_error(F.lit("knn query vector is null")).cast("array<float>")
+            df = f.df.withColumn("__q", F.coalesce(found, none))
         away = self.name("distance")
         at = f.order[0][0]
         df = df.where(F.col(f"`{physical}`").isNotNull()).withColumn(away, vectors.distance(F.col(f"`{physical}`"), F.col("__q"), plan["metric"], strict=False)).drop("__q")
