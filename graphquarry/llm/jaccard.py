@@ -17,8 +17,9 @@ empty and linked with nothing. Texts link when 100 * |A & B| >= t * |A | B|.
    list lengths measured in the corpus.
 3. Within a key, each set is first compared with the list's head; connected
    sets are then merged, and only sets of one key that are still in different
-   components are compared with each other. So a group of n near copies costs
-   n comparisons, and no link between components is lost.
+   components are compared with each other, the likeliest partner in each
+   component first. So a group of n near copies costs about n comparisons, and
+   no link between components is lost.
 4. Candidates pass an exact bound from parity bitmaps, then the exact count.
 
 Defined results: a null text has no words; rows with a null id take no part
@@ -43,6 +44,10 @@ SKETCH = 1 << 20
 BROADCAST_ROWS = 200_000
 #: Sets compared with one list head in one task.
 SALT_ROWS = 256
+#: Sets of one list compared in one run.
+LIST_ROWS = 1024
+#: Lists up to this long are joined with themselves.
+SHORT_LIST = 12
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -233,6 +238,85 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     return stage_table(both.mapInArrow(lambda x: _linked(x, percent), "a long, b long"))
 
 
+def _fold(maps: np.ndarray) -> np.ndarray:
+    half = maps.shape[1] // 2
+    return maps[:, :half] ^ maps[:, half:]
+
+
+def _unmerged(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list that are in different components and may link.
+
+    Sets that link have bitmaps of the same length, or one twice the other's.
+    At least one of a pair is outside the component of the list's head.
+    """
+    for (_, i, j), run in sorted_runs(batches, "key", "i", "j"):
+        ids, n, comp, main, own = (run[c].to_numpy() for c in ("id", "n", "comp", "main", "own"))
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for chunk in run["map"].chunks for x in chunk]
+        width = np.array([len(x) for x in raw])
+        maps, at = {}, {}
+        for w in np.unique(width):
+            at[w] = np.flatnonzero(width == w)
+            maps[w] = np.stack([raw[k] for k in at[w]])
+        folded = {w: _fold(m) for w, m in maps.items() if w > 8}
+        out_a, out_b, out_c, out_s = [], [], [], []
+        for x in np.flatnonzero(comp != main):
+            w = width[x]
+            mine = raw[x][None, :]
+            for other, theirs, my in ((w, maps.get(w), mine), (2 * w, folded.get(2 * w), mine), (w // 2, maps.get(w // 2), _fold(mine) if w > 8 else mine)):
+                if theirs is None:
+                    continue
+                k = at[other]
+                ok = (comp[k] != comp[x]) & (100 * np.minimum(n[k], n[x]) >= percent * np.maximum(n[k], n[x]))
+                ok &= (comp[k] == main[k]) | (ids[k] < ids[x])
+                if i != j:
+                    ok &= own[k] != own[x]
+                hit = np.flatnonzero(ok)
+                if not len(hit):
+                    continue
+                k = k[hit]
+                most = (n[k] + n[x] - np.bitwise_count(theirs[hit] ^ my).sum(1, dtype=np.int64)) // 2
+                fits = (100 + percent) * most >= percent * (n[k] + n[x])
+                k, most = k[fits], most[fits]
+                out_a.append(np.full(len(k), ids[x]))
+                out_b.append(ids[k])
+                out_c.append(comp[k])
+                out_s.append(most / (n[k] + n[x]))
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_a, out_b, out_c, out_s)], names=["a", "b", "cb", "share"])
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps don't rule a link out, with the bound's share."""
+    for batch in batches:
+        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+        most = np.array([bound(x.as_buffer(), p, y.as_buffer(), q) for x, p, y, q in zip(batch.column("ma"), na.tolist(), batch.column("mb"), nb.tolist())], np.int64)
+        fits = pa.array((100 + percent) * most >= percent * (na + nb))
+        share = pa.array(most / (na + nb), pa.float64())
+        yield pa.RecordBatch.from_arrays([x.filter(fits) for x in (batch.column("a"), batch.column("b"), batch.column("cb"), share)], names=["a", "b", "cb", "share"])
+
+
+def _apart(lists: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components, with b's component and a bound.
+
+    Short lists are joined with themselves, which makes a few rows for each
+    entry; long ones are cut into blocks, and each pair of blocks is a run.
+    """
+    placed = lists.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("main"), F.count("*").alias("many"), F.ceil(F.count("*") / LIST_ROWS).alias("blocks")).where("lo < hi").select("key", "main", "many", "blocks")
+    rows = placed.join(mixed, "key")
+    short = stage_table(rows.where(f"many <= {SHORT_LIST}").join(reps.select("id", "n"), "id").select("key", "id", "comp", "n"))
+    x, y = (short.select("key", F.col("id").alias(i), F.col("comp").alias(c), F.col("n").alias(k)) for i, c, k in (("a", "ca", "na"), ("b", "cb", "nb")))
+    near = x.join(y, "key").where(f"a > b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "cb", "na", "nb").distinct()
+    m = reps.select("id", "map")
+    near = near.join(m.select(F.col("id").alias("a"), F.col("map").alias("ma")), "a").join(m.select(F.col("id").alias("b"), F.col("map").alias("mb")), "b")
+    near = near.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, cb long, share double")
+    rows = rows.where(f"many > {SHORT_LIST}").join(reps.select("id", "n", "map"), "id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "id", "comp", "main", "n", "map")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stage_table(near.union(rows.mapInArrow(lambda x: _unmerged(x, percent), "a long, b long, cb long, share double").dropDuplicates(["a", "b"])))
+
+
 def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row with an id.
 
@@ -265,17 +349,19 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
     first = _verify(best.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, d, n, percent)
     comp = connected_components(first)
 
-    placed = lists.join(comp, "id", "left").select("key", "id", "head", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("main")).where("lo < hi").select("key", "main")
-    apart = stage_table(placed.join(mixed, "key").select("key", "id", "comp", "main").join(reps.select("id", "n"), "id"))
-    x = apart.where("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    y = apart.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
-    rest = x.join(y, "key").where("cx <> cy").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    second = _verify(rest, reps, d, n, percent)
+    links = first
+    for last in (False, True):
+        rest = _apart(lists, comp, reps, percent)
+        if not last:  # first the likeliest partner of each set in each other component
+            best = F.max_by("b", F.struct("share", -F.col("b")))
+            rest = rest.groupBy("a", "cb").agg(best.alias("b"))
+        links = links.union(_verify(rest.select("a", "b"), reps, d, n, percent))
+        if not last:
+            comp = connected_components(links)
 
     doubled = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # one id, several texts
     twins = members.join(doubled.select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = connected_components(first.union(second).union(twins))
+    final = connected_components(links.union(twins))
     out = rows.where("n = 0").select("id", "n", F.col("id").alias("rep")).union(members)
     out = out.join(final.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
