@@ -166,6 +166,36 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, boundary: int
             )
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the keys that two sets or more have, with the list's head.
+
+    The stream is sorted by key and id; of a batch only the last row waits.
+    """
+    key, ids, head = (np.empty(0, np.int64) for _ in range(3))
+    listed = np.empty(0, bool)  # whether the waiting row is known to be in a list
+
+    def out(k, i, h, keep):
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, i, h)], names=["key", "id", "head"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, i = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in ((key, "key"), (ids, "id")))
+        same = np.concatenate([[False], k[1:] == k[:-1]])
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
+        h = i[start]
+        if len(head):
+            h[start == 0] = head[0]
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        if len(listed):
+            keep[0] |= listed[0]
+        yield out(k[:-1], i[:-1], h[:-1], keep[:-1])
+        key, ids, head, listed = k[-1:], i[-1:], h[-1:], keep[-1:]
+    if len(key):
+        yield out(key, ids, head, listed)
+
+
 def _boundary(sizes: list[tuple[int, int]], list_length: float, percent: int) -> int:
     """The set size up to which enumerating 2-subsets is the cheaper way.
 
@@ -200,20 +230,23 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "items"])
 
 
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The exact test of two ascending sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that link; a run is one head (kind 0) and the sets to compare with it."""
     for (b, _), run in sorted_runs(batches, "b", "salt"):
         a, kind = run["a"].to_numpy(), run["kind"].to_numpy()
         items = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in run["items"].chunks for x in chunk]
-        head = items[int(np.argmin(kind))]
-        ok = []
-        for i in np.flatnonzero(kind == 1):
-            s = items[i]
-            x, y = (s, head) if len(s) <= len(head) else (head, s)
-            pos = np.searchsorted(y, x)
-            shared = int((y[np.minimum(pos, len(y) - 1)] == x).sum())
-            if 100 * shared >= percent * (len(x) + len(y) - shared):
-                ok.append(a[i])
+        heads = [items[i] for i in np.flatnonzero(kind == 0)]  # more than one if rows share an id
+        ok = [a[i] for i in np.flatnonzero(kind == 1) if any(_link(items[i], h, percent) for h in heads)]
         yield pa.RecordBatch.from_arrays([pa.array(ok, pa.int64()), pa.array(np.full(len(ok), b, np.int64))], names=["a", "b"])
 
 
@@ -338,13 +371,14 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
 
     groups = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     members = stage_table(rows.where("n > 0").join(groups, ["h1", "h2", "n"]).select("id", "n", "rep"))
-    own = members.select(F.col("rep").alias("id")).distinct()
+    copies = stage_table(members.groupBy("id").agg(F.max(F.expr("int(id = rep)")).alias("own")).where("own = 0").select("id"))
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
     keyed = d.mapInArrow(lambda x: _keys(x, n, percent, boundary, shipped), "id long, n long, keys array<long>, map binary")
-    reps = stage_table(keyed.join(own, "id", "left_semi"))
+    reps = stage_table(keyed.join(copies, "id", "left_anti"))
 
-    entries = reps.select("id", F.explode("keys").alias("key"))
-    heads = entries.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
-    lists = stage_table(entries.join(heads.select("key", "head"), "key"))
+    entries = reps.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
+    lists = stage_table(entries.mapInArrow(_lists, "key long, id long, head long"))
     best = lists.where("id <> head").groupBy("id", "head").count().groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
     first = _verify(best.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, d, n, percent)
     comp = connected_components(first)
