@@ -36,6 +36,8 @@ BUDGET = 1.5
 CAP = 2.0
 #: Undecided units of a source in one task.
 BLOCK = 2048
+#: Sources up to which the table of sources is broadcast; beyond, joins shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = 20_240_601
 
 
@@ -124,7 +126,7 @@ def _settle(df: DataFrame, counts: DataFrame, level: int, last: bool, seed: int)
         pdf["p"] = flight(pdf["p"].to_numpy(np.float64), pdf["size"].to_numpy(np.float64), rng, last)
         return pdf[["source", "doc_id", "size", "nth", "h", "base", "p"]]
 
-    keyed = df.join(F.broadcast(counts), F.expr("source <=> of"))  # a row per source; its number is checked
+    keyed = df.join(counts, F.expr("source <=> of"))
     keyed = keyed.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks"))).otherwise(0))
     return keyed.groupBy("source", "block").applyInPandas(fly, "source string, doc_id long, size long, nth long, h long, base int, p double")
 
@@ -139,7 +141,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, budget, cap)
     goal = stage_table(goal.withColumnRenamed("source", "of"))
     n_sources, most = goal.agg(F.count("*"), F.max("n_docs")).first()
-    if n_sources <= 100_000:
+    few = n_sources <= BROADCAST_SOURCES
+    if few:
         goal = F.broadcast(goal)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + 1e-12)
@@ -152,7 +155,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     counts = goal.select("of", F.ceil(F.col("n_docs") / BLOCK).alias("blocks"))
     while True:
         last = many <= BLOCK
-        out = stage_table(_settle(open_rows, counts, level, last, seed))
+        out = stage_table(_settle(open_rows, F.broadcast(counts) if few else counts, level, last, seed))
         undecided = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(out.where(~undecided))
         if last:
