@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphquarry.engine import Engine
+from graphquarry.sources.catalog import Catalog
 from graphquarry.sources.star import graph
 
 D = "DECIMAL(15,2)"
@@ -176,8 +177,17 @@ QUESTIONS: dict[str, tuple[str, str]] = {
 }
 
 
+_catalogs: dict[tuple[int, str], tuple[SparkSession, Catalog]] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(spark, catalog=graph(spark, sf_dir))
+    """An engine over a folder of tables, whose schemas are read once a session."""
+    key = (id(spark), sf_dir)
+    if key not in _catalogs or _catalogs[key][0] is not spark:
+        if len(_catalogs) >= 16:
+            _catalogs.clear()
+        _catalogs[key] = (spark, graph(spark, sf_dir))
+    return Engine(spark, catalog=_catalogs[key][1])
 
 
 def _runner(text: str) -> Callable[[SparkSession, str], DataFrame]:
