@@ -4,12 +4,14 @@ A hash function rotates a unit vector by three rounds of random signs and a
 fast Walsh-Hadamard transform and takes the nearest signed axis; a table's
 bucket joins FUNCTIONS of them. Every vector is in one bucket of each table,
 and a query probes the PROBES buckets of a table whose axes fit it best.
-Within a bucket, queries meet vectors as blocks of a matrix product that keeps
-each query's best; what all tables give is then ranked by the exact cosine in
-double precision on the original vectors.
+The buckets of a table are dealt to slots, and a query is sent once to each slot
+that has some of its buckets. There it is scored against every vector of those
+buckets by the exact cosine, in double precision on the original vectors, and
+only by that score and the smallest id are its k + 1 best kept, so vectors that
+are nearly equal are told apart before anything is cut.
 
 Equal vectors are indexed once, with the smallest ids that can be in a result,
-so ties and thousands of copies cost nothing and lose nothing. Large buckets
+so ties and thousands of copies cost nothing and lose nothing. Large slots
 are salted: their vectors are dealt over tasks and their queries copied to each.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
@@ -34,10 +36,10 @@ TABLES = 32
 FUNCTIONS = 2
 PROBES = 64
 SEED = 97
-#: Vectors of one bucket in one task.
+#: Vectors of one slot in one task, at most about.
 SALT_ROWS = 4096
-#: Over twice the error of a cosine of two unit vectors in half precision (2^-10).
-MARGIN = 0.005
+#: Scored candidates that a task holds before it cuts them to the best.
+HELD_ROWS = 500_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -88,13 +90,17 @@ def probed(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
     return np.argpartition(-total, probes - 1, axis=1)[:, :probes].astype(np.int64)
 
 
-def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
-    v = np.stack(vectors)
-    return v, (v / np.sqrt((v.astype(np.float64) ** 2).sum(1, keepdims=True))).astype(np.float32)
+def _unit(vectors) -> np.ndarray:
+    v = np.stack(vectors).astype(np.float64)
+    return (v / np.sqrt((v**2).sum(1, keepdims=True))).astype(np.float32)
 
 
-def _usable(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as bytes of doubles, at most ``keep`` smallest ids of each per batch."""
+def _slots(code: np.ndarray, slots: int) -> np.ndarray:
+    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slots)).astype(np.int64)
+
+
+def _usable(batches: Iterator[pa.RecordBatch], keep: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Usable vectors as bytes of ``kind``, at most ``keep`` smallest ids of each per batch."""
     for b in batches:
         found: dict[bytes, list[int]] = {}
         for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -102,7 +108,7 @@ def _usable(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
                 continue
             a = np.array(v, np.float64) + 0.0  # -0.0 and 0.0 are one value
             if np.isfinite(a).all() and a.any():
-                found.setdefault(a.tobytes(), []).append(i)
+                found.setdefault(a.astype(kind).tobytes(), []).append(i)
         rows = [(k, sorted(set(ids))[:keep]) for k, ids in found.items()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([i for _, i in rows], pa.list_(pa.int64()))], names=["vec", "ids"])
 
@@ -113,63 +119,102 @@ def _merged(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([vec], pa.binary()), pa.array([ids[0]], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["vec", "rep", "ids"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch], probes: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tab, bucket, id, vec); with ``probes`` all buckets that a query probes."""
+def _placed(batches: Iterator[pa.RecordBatch], probes: int, tables: int, slots: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows (tab, slot, id, codes, vec) of a vector's bucket; with ``probes`` of all buckets of a slot that a query probes."""
     for b in batches:
         for lo in range(0, b.num_rows, 500):
             part = b.slice(lo, 500)
-            ids, raw = part.column("rep").to_numpy(), [np.frombuffer(x.as_buffer(), np.float64) for x in part.column("vec")]
+            ids, data = part.column("rep").to_numpy(), np.array(part.column("vec").to_pylist(), object)
+            raw = [np.frombuffer(x, kind) for x in data]
             for dim in sorted({len(x) for x in raw}):
                 at = np.array([i for i, x in enumerate(raw) if len(x) == dim])
-                _, unit = _unit([raw[i] for i in at])
-                data = np.array([u.tobytes() for u in unit.astype(np.float16)], object)
+                unit = _unit([raw[i] for i in at])
                 for t in range(tables):
                     signs = rotations(dim, t)
                     code = probed(unit, signs, probes) if probes else buckets(unit, signs)[:, None]
-                    n = code.shape[1]
-                    row = np.repeat(np.arange(len(at)), n)
+                    row, code = np.repeat(np.arange(len(at)), code.shape[1]), code.reshape(-1)
+                    slot = _slots(code, slots)
+                    order = np.lexsort((slot, row))
+                    row, code, slot = row[order], code[order], slot[order]
+                    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (slot[1:] != slot[:-1])]))
+                    ends = [*first[1:], len(row)]
+                    codes = [code[x:y].tobytes() for x, y in zip(first, ends)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), dim * 1000 + t, np.int64)), pa.array(code.reshape(-1)), pa.array(ids[at][row]), pa.array(data[row], pa.binary())],
-                        names=["tab", "bucket", "id", "vec"],
+                        [pa.array(np.full(len(first), dim * 1000 + t, np.int64)), pa.array(slot[first]), pa.array(ids[at][row[first]]), pa.array(codes, pa.binary()), pa.array(data[at][row[first]], pa.binary())],
+                        names=["tab", "slot", "id", "codes", "vec"],
                     )
 
 
-def _matched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Best k + 1 vectors of each query in a bucket (itself may be one)."""
-    for _, run in sorted_runs(batches, "tab", "bucket", "salt"):
-        kind, ids = run["kind"].to_numpy(), run["id"].to_numpy()
-        if kind[0] == 1 or kind[-1] == 0:
+def _best(query: np.ndarray, ids: np.ndarray, near: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``n`` best different vectors of each query: by exact score, then by smallest id."""
+    order = np.lexsort((ids, -near, query))
+    query, ids, near = query[order], ids[order], near[order]
+    # a pair that several tables found has one score, so its rows are neighbours
+    new = np.concatenate([[True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])])
+    query, ids, near = query[new], ids[new], near[new]
+    first = np.concatenate([[0], np.flatnonzero(query[1:] != query[:-1]) + 1])
+    top = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < n
+    return query[top], ids[top], near[top]
+
+
+def _scored_batch(query: np.ndarray, ids: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(near)], names=["query", "id", "near"])
+
+
+def _matched(batches: Iterator[pa.RecordBatch], k: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Best k + 1 vectors of each query among this task's buckets that it probes (itself may be one)."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = 0
+    for _, run in sorted_runs(batches, "tab", "slot", "salt"):
+        role, ids = run["kind"].to_numpy(), run["id"].to_numpy()
+        if role[0] == 1 or role[-1] == 0:
             continue
-        v = np.frombuffer(b"".join(run["vec"].to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
-        n = int((kind == 0).sum())
-        q, c = ids[:n], ids[n:]
-        for lo in range(0, n, 256):
-            s = v[lo : min(n, lo + 256)] @ v[n:].T
-            m = min(k + 1, s.shape[1])
-            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            near = np.take_along_axis(s, best, 1).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[lo : lo + len(s)], m)), pa.array(c[best.reshape(-1)]), pa.array(near, pa.float32())], names=["query", "id", "near"])
+        n = int((role == 0).sum())
+        v = np.frombuffer(b"".join(run["vec"].to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
+        codes = run["codes"].to_pylist()
+        code = np.frombuffer(b"".join(codes[n:]), np.int64)
+        order = np.argsort(code, kind="stable")
+        code, c, m = code[order], ids[n:][order], v[n:][order]
+        norms = np.sqrt((m * m).sum(1))
+        for i in range(n):
+            asked = np.frombuffer(codes[i], np.int64)
+            lo, hi = np.searchsorted(code, asked, "left"), np.searchsorted(code, asked, "right")
+            found = [np.arange(x, y) for x, y in zip(lo, hi) if x < y]
+            if not found:
+                continue
+            at = np.concatenate(found)
+            near, own = cosine(v[i], m[at], norms[at]), c[at]
+            if len(at) > k + 1:
+                top = np.lexsort((own, -near))[: k + 1]
+                near, own = near[top], own[top]
+            held.append((np.full(len(own), ids[i], np.int64), own, near))
+            rows += len(own)
+            if rows >= HELD_ROWS:
+                held = [_best(*map(np.concatenate, zip(*held)), k + 1)]
+                rows = len(held[0][0])
+                if rows > HELD_ROWS // 2:
+                    yield _scored_batch(*held[0])
+                    held, rows = [], 0
+    if held:
+        yield _scored_batch(*_best(*map(np.concatenate, zip(*held)), k + 1))
 
 
 def _hopeful(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A query's candidates that may be among its k + 1 best, whatever halves have rounded."""
-    for (query,), run in sorted_runs(batches, "query"):
-        ids, first = np.unique(run["id"].to_numpy(), return_index=True)
-        near = run["near"].to_numpy()[first]
-        if len(ids) > k + 1:
-            ids = ids[near >= np.partition(near, -(k + 1))[-(k + 1)] - MARGIN]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query, np.int64)), pa.array(ids)], names=["query", "id"])
+    """The k + 1 best of all that a query's tables have found."""
+    for _, run in sorted_runs(batches, "query"):
+        query, ids, _ = _best(*(run[c].to_numpy() for c in ("query", "id", "near")), k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids)], names=["query", "id"])
 
 
-def cosine(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+def cosine(q: np.ndarray, m: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
     """Cosines of the rows of ``m`` with ``q``; the same for a row wherever it stands."""
-    return (m * q).sum(1) / (np.sqrt((m * m).sum(1)) * np.sqrt((q * q).sum()))
+    return (m * q).sum(1) / ((np.sqrt((m * m).sum(1)) if norms is None else norms) * np.sqrt((q * q).sum()))
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch], k: int, kind: str) -> Iterator[pa.RecordBatch]:
     for (query,), run in sorted_runs(batches, "query_id"):
-        vecs = [np.frombuffer(x.as_buffer(), np.float64) for chunk in run["vec"].chunks for x in chunk]
-        q = np.frombuffer(run["qvec"][0].as_buffer(), np.float64)
+        vecs = [np.frombuffer(x.as_buffer(), kind).astype(np.float64) for chunk in run["vec"].chunks for x in chunk]
+        q = np.frombuffer(run["qvec"][0].as_buffer(), kind).astype(np.float64)
         scores = cosine(q, np.stack(vecs))
         best = sorted((-s, i) for s, ids in zip(scores.tolist(), run["ids"].to_pylist()) for i in ids if i != query)[:k]
         n = len(best)
@@ -185,22 +230,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TAB
     Both frames have (vec_id, embedding); a query never finds its own id.
     """
     keep = k + 1
+    # single precision as it came, where that is what the tables hold: lossless and half as long
+    kind = "<f4" if all(x.schema["embedding"].dataType.simpleString() == "array<float>" for x in (vectors, queries)) else "<f8"
     named = [x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) for x in (vectors, queries)]
-    base, asked = (x.mapInArrow(lambda it: _usable(it, keep), "vec binary, ids array<long>") for x in named)
+    base, asked = (x.mapInArrow(lambda it: _usable(it, keep, kind), "vec binary, ids array<long>") for x in named)
     base = stage_table(base.withColumn("h", F.xxhash64("vec")).repartition("h").sortWithinPartitions("h", "vec").select("vec", "ids").mapInArrow(lambda it: _merged(it, keep), "vec binary, rep long, ids array<long>"))
     # every asking id is kept, but each distinct vector is searched once
-    asked_ids = stage_table(named[1].mapInArrow(lambda it: _usable(it, 1 << 40), "vec binary, ids array<long>"))
+    asked_ids = stage_table(named[1].mapInArrow(lambda it: _usable(it, 1 << 40, kind), "vec binary, ids array<long>"))
     probe = stage_table(asked.groupBy("vec").agg(F.min(F.array_min("ids")).alias("rep")))
 
-    placed = stage_table(base.select("rep", "vec").mapInArrow(lambda it: _placed(it, 0, tables), "tab long, bucket long, id long, vec binary"))
-    salts = placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    looking = probe.mapInArrow(lambda it: _placed(it, probes, tables), "tab long, bucket long, id long, vec binary").join(salts, ["tab", "bucket"])
-    looking = looking.select("tab", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "id", "vec")
-    stored = placed.join(salts, ["tab", "bucket"]).select("tab", "bucket", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(1).alias("kind"), "id", "vec")
-    both = looking.union(stored).repartition("tab", "bucket", "salt").sortWithinPartitions("tab", "bucket", "salt", "kind")
-    found = both.mapInArrow(lambda it: _matched(it, k), "query long, id long, near float").repartition("query").sortWithinPartitions("query")
+    slots = max(1, -(-base.count() // SALT_ROWS))
+    row = "tab long, slot long, id long, codes binary, vec binary"
+    placed = stage_table(base.select("rep", "vec").mapInArrow(lambda it: _placed(it, 0, tables, slots, kind), row))
+    # staged, so that its size is known: the few slots over size are broadcast and no vector moves for them
+    large = stage_table(placed.groupBy("tab", "slot").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    looking = probe.mapInArrow(lambda it: _placed(it, probes, tables, slots, kind), row).join(large, ["tab", "slot"], "left")
+    looking = looking.select("tab", "slot", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "id", "codes", "vec")
+    stored = placed.join(large, ["tab", "slot"], "left").select("tab", "slot", F.pmod(F.xxhash64("id"), salts).alias("salt"), F.lit(1).alias("kind"), "id", "codes", "vec")
+    both = looking.union(stored).repartition("tab", "slot", "salt").sortWithinPartitions("tab", "slot", "salt", "kind")
+    found = both.mapInArrow(lambda it: _matched(it, k, kind), "query long, id long, near double").repartition("query").sortWithinPartitions("query")
     pairs = stage_table(found.mapInArrow(lambda it: _hopeful(it, k), "query long, id long"))
 
     who = asked_ids.select("vec", F.explode("ids").alias("query_id")).join(probe, "vec").select("query_id", F.col("rep").alias("query"), F.col("vec").alias("qvec"))
     cand = pairs.join(base, pairs.id == base.rep).select("query", "vec", "ids").join(who, "query").select("query_id", "qvec", "vec", "ids")
-    return cand.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _ranked(it, k), "query_id long, rank int, vec_id long, score double")
+    return cand.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _ranked(it, k, kind), "query_id long, rank int, vec_id long, score double")

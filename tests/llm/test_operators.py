@@ -338,6 +338,21 @@ def test_ann_recall_ties_and_awkward_vectors(spark):
     assert ann.search(d.limit(0), d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread, kind", [(1e-2, "float"), (3e-5, "double")])
+def test_ann_finds_the_nearest_of_many_near_copies(spark, spread, kind):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(600, 64)), rng.normal(size=64) + spread * rng.normal(size=(1500, 64))])
+    x = x.astype(np.float32).astype(np.float64) if kind == "float" else x
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = ann.search(d, d.where("vec_id >= 600 and vec_id % 25 = 0")).toPandas()
+    hit = total = 0
+    for q in range(600, len(x), 25):
+        s = ann.cosine(x[q], x)
+        best = [i for _, i in sorted((-v, i) for i, v in enumerate(s.tolist()) if i != q)[:5]]
+        hit, total = hit + len(set(best) & set(got[got.query_id == q].vec_id)), total + 5
+    assert hit / total >= 0.99
+
+
 def test_fast_transform_equals_the_matrix():
     h = np.array([[1.0]])
     while len(h) < 16:
