@@ -18,7 +18,8 @@ dates          ISO, d/m/y and m/d/y with / . or -: permuted over the 146,097 day
 access keys    the 16 characters after AKIA or ASIA are permuted in base 36
 e-mail         the local part's letters and digits are shifted by a keyed stream
                of the whole address, the domain stays
-passwords      ``password=...`` and the like: the value is shifted the same way
+passwords      ``password=...`` and the like, also with quotes round the value or
+               the key: the value is shifted the same way, the quotes stay
 =============  =====================================================================
 
 Defined results: a null text stays null, an empty one empty; a text without
@@ -36,7 +37,9 @@ ROUNDS = 8
 KEY = "example pseudonym key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)++[A-Za-z]{2,}+"
-SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?)[^\s,;\"']{6,}"
+#: A value in quotes ends at its quote and may hold spaces; one without, or whose quote is never closed, ends at white space.
+QUOTED = r"\\\"[^\"\\\r\n]{6,}+\\\"|\"(?:[^\"\\\r\n]|\\.){6,}+\"|'(?:[^'\\\r\n]|\\.){6,}+'(?![A-Za-z])"
+SECRET = rf"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\\?[\"']?\s?[=:]\s?)(?:{QUOTED}|\\?[\"']?[^\s,;\"']{{6,}})"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
@@ -263,9 +266,10 @@ def _email(key: Column, m: Column) -> Column:
 
 
 def _secret(key: Column, m: Column) -> Column:
-    head = F.regexp_extract(m, r"^[^=:]*[=:]\s?", 0)
-    value = F.substr(m, F.length(head) + 1)
-    return F.concat(head, _shifted(key, "secret", value, value))
+    # quotes aren't part of the value, so it gets the same pseudonym with and without them
+    head, tail = F.regexp_extract(m, r"^[^=:]*[=:]\s?(?:\\?[\"'])?", 0), F.regexp_extract(m, r"(?:\\?[\"'])?$", 0)
+    value = F.substr(m, F.length(head) + 1, F.length(m) - F.length(head) - F.length(tail))
+    return F.concat(head, _shifted(key, "secret", value, value), tail)
 
 
 def kind_of(m: Column) -> Column:

@@ -111,6 +111,22 @@ def test_pseudonyms(spark):
     assert (counts["n_card"], counts["n_date"], counts["n_iban"], counts["n_email"]) == (2, 3, 1, 1)
 
 
+def test_quoted_secrets(spark):
+    forms = ["password=%s", 'token = "%s"', "password: '%s'", 'x "api_key": "%s", "n": 1', "{'secret':'%s'}", '{\\"pwd\\": \\"%s\\"}', 'TOKEN="%s', '{"token": "%s"}']
+    rows = [(i, f % "04dbebab77Zq", "a") for i, f in enumerate(forms)]
+    rows += [(20, 'password = "correct horse, battery" stays', "a"), (21, 'pwd: "ab\\"cdefgh" stays', "a"), (22, 'token: "abc", "name": "Robert Miller"', "a"), (23, "secret: 'tis the season, and it's cold", "a"), (24, 'token = "' + "words without an end " * 3000, "a")]
+    rows += [(25, "the token 'wonderful' and no value", "a")]
+    out = {r["doc_id"]: r for r in pii.report(table(spark, rows)).collect()}
+    new = out[0]["text"].removeprefix("password=")
+    assert len(new) == 12 and "04dbebab77Zq" not in new
+    assert [out[i]["text"] for i in range(len(forms))] == [f % new for f in forms]
+    assert all(out[i]["n_secret"] == 1 for i in [*range(len(forms)), 20, 21])
+    assert out[20]["text"].startswith('password = "') and out[20]["text"].endswith('" stays') and not {"correct", "horse", "battery"} & set(out[20]["text"].replace(",", "").split())
+    assert out[21]["text"].endswith('" stays') and "cdefgh" not in out[21]["text"]
+    assert all(out[i]["text"] == rows[len(forms) + i - 20][1] and out[i]["n_secret"] == 0 for i in (22, 23, 25))
+    assert out[24]["text"] == rows[len(forms) + 4][1]
+
+
 def test_feistel_is_a_permutation(spark):
     key = F.lit("k")
     d = spark.range(2000).select(pii._permute_digits(key, "t", F.lpad(F.col("id").cast("string"), 4, "0")).alias("d"))
