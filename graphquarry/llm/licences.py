@@ -10,6 +10,14 @@ template's bigrams, so one of any larger rest: ``gate_words`` chooses few rare
 words that occur in so many bigrams of every template that a unit without any
 of them can't reach t, and such units are dropped by one pattern search.
 
+With ``windows`` every run of words is a unit as well, across lines and inside
+them, so wrapped texts and notices within a sentence are found: a template of s
+bigrams meets all runs of up to s(2-t)/t bigrams, and its best one is taken;
+one that overlaps another that shares more bigrams is dropped. A
+best run starts with one of the template's bigrams and needs t/(2-t) of them,
+so only starts with that many ahead are measured; from a start, one pass gives
+the scores of all its ends.
+
 Defined results: a null or empty text, or one without a match, has a null
 licence, score 0 and no matches; ties go to the first template by name, then
 to the first line; texts of any length are scanned whole; rows sharing an id
@@ -24,6 +32,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm.pii import _bind
+
 THRESHOLD = 0.8
 
 # The usual notices and short full texts of licences.
@@ -97,10 +107,70 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def _windows(lines: Column, known: Column, threshold: float) -> Column:
+    """Best runs of templates that don't overlap: -shared bigrams, -score, name, first and last bigram and line."""
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
+
+    def words_in(x, i):
+        return F.transform(F.filter(F.split(_normal(x), " "), lambda w: w != ""), lambda w: F.struct(w.alias("word"), (i + 1).alias("line")))
+
+    def pairs(words):
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.struct(F.concat_ws(" ", a["word"], b["word"]).alias("gram"), a["line"].alias("line"), b["line"].alias("last")))
+
+    def with_before(seen):
+        """For every bigram of the text, where it stood the last time before, or -1."""
+        ordered = F.array_sort(F.transform(seen, lambda g, i: F.struct(g["gram"].alias("gram"), i.alias("at"))))
+        linked = _bind(ordered, lambda o: F.transform(o, lambda x, i: F.struct(x["at"].alias("at"), F.when(F.get(o, i - 1)["gram"] == x["gram"], F.get(o, i - 1)["at"]).otherwise(-1).alias("before"))))
+        grams = F.transform(seen, lambda g: g["gram"])
+        return F.struct(seen.alias("seen"), grams.alias("grams"), F.array_distinct(grams).alias("own"), F.transform(F.array_sort(linked), lambda x: x["before"]).alias("before"))
+
+    def best_of(t, text):
+        need, longest = F.ceil(low * t["size"]).cast("int"), F.floor(high * t["size"]).cast("int")
+
+        def from_hits(is_in):
+            def from_starts(hits):
+                starts = F.filter(F.transform(hits, lambda h, k: F.struct(h.alias("at"), F.get(hits, k + need - 1).alias("end"))), lambda x: x["end"] - x["at"] < longest)
+
+                def measured(x):
+                    at = x["at"]
+
+                    def step(acc, p):
+                        new = F.get(text["before"], p) < at
+                        size, shared = acc["size"] + F.when(new, 1).otherwise(0), acc["shared"] + F.when(new & F.get(is_in, p), 1).otherwise(0)
+                        return F.struct(size.alias("size"), shared.alias("shared"), F.greatest(acc["best"], F.struct((2.0 * shared / (size + t["size"])).alias("score"), shared.alias("shared"), (-p).alias("end"))).alias("best"))
+
+                    zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("shared"), F.lit(0).alias("end")).alias("best"))
+                    best = F.aggregate(F.sequence(at, F.least(at + longest, F.size(is_in)) - 1), zero, step, lambda acc: acc["best"])
+                    return _bind(best, lambda y: F.struct((-F.round(y["score"], 6)).alias("minus"), (-y["shared"]).alias("shared"), at.alias("at"), (-y["end"]).alias("end")))
+
+                return F.array_min(F.transform(starts, measured))
+
+            return _bind(F.filter(F.sequence(F.lit(0), F.size(is_in) - 1), lambda p: F.get(is_in, p)), from_starts)
+
+        top = _bind(F.transform(text["grams"], lambda g: F.array_contains(t["grams"], g)), from_hits)
+        return _bind(top, lambda w: F.struct(w["shared"].alias("shared"), w["minus"].alias("minus"), t["name"].alias("name"), w["at"].alias("at"), w["end"].alias("end"), F.get(text["seen"], w["at"])["line"].alias("line"), F.get(text["seen"], w["end"])["last"].alias("last")))
+
+    def found(text):
+        fitting = F.filter(known, lambda t: F.size(F.array_intersect(text["own"], t["grams"])) >= low * t["size"])
+        runs = F.array_sort(F.filter(F.transform(fitting, lambda t: best_of(t, text)), lambda w: F.coalesce(-w["minus"] >= threshold, F.lit(False))))
+
+        def one_more(kept, w):
+            return F.when(F.exists(kept, lambda x: (x["at"] <= w["end"]) & (w["at"] <= x["end"])), kept).otherwise(F.concat(kept, F.array(w)))
+
+        return _bind(runs, lambda r: F.aggregate(r, F.filter(r, lambda w: F.lit(False)), one_more))
+
+    return _bind(_bind(_bind(F.flatten(F.transform(lines, words_in)), pairs), with_before), found)
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """doc_id, licence, score, line (0 is the whole text), n_matches and matches.
 
-    ``matches`` lists "line:template:score" of every unit's best template.
+    ``matches`` lists "line:template:score" of every unit's best template. With
+    ``windows`` it goes on with the best runs of words of templates, but not with
+    those in lines whose own template is as large as what the run shares; and
+    licence, score and line are those of the first run if it shares more bigrams
+    than the best line's or whole text's template has.
     """
     templates = TEMPLATES if templates is None else templates
     gate = "(?i)(?<![a-z0-9])(?:" + "|".join(gate_words(templates, threshold)) + ")(?![a-z0-9])"
@@ -118,12 +188,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def best_of(u):
         n = F.size(u["grams"])
         fitting = F.filter(known, lambda t: (n >= low * t["size"]) & (n <= high * t["size"]))
-        scored = F.transform(fitting, lambda t: F.struct((-F.round(2.0 * F.size(F.array_intersect(u["grams"], t["grams"])) / (n + t["size"]), 6)).alias("minus"), t["name"].alias("name")))
+        scored = F.transform(fitting, lambda t: F.struct((-F.round(2.0 * F.size(F.array_intersect(u["grams"], t["grams"])) / (n + t["size"]), 6)).alias("minus"), t["name"].alias("name"), t["size"].alias("size")))
         return F.struct(u["line"].alias("line"), F.array_min(scored).alias("best"))
 
     sized = F.filter(F.transform(units, measured), lambda u: F.size(u["grams"]) >= low * smallest)
     hits = F.filter(F.transform(sized, best_of), lambda u: F.coalesce(-u["best"]["minus"] >= threshold, F.lit(False)))
-    found = docs.select("doc_id", F.when(F.col("text").rlike(gate), hits).alias("hits"))
+    gated = F.col("text").rlike(gate)
+    if windows:
+        return _merged(docs.select("doc_id", F.when(gated, hits).alias("hits"), F.when(gated, _windows(lines, known, threshold)).alias("runs")))
+    found = docs.select("doc_id", F.when(gated, hits).alias("hits"))
     top = F.array_min(F.transform("hits", lambda h: F.struct(h["best"]["minus"].alias("minus"), h["best"]["name"].alias("name"), h["line"].alias("line"))))
     listed = F.transform("hits", lambda h: F.concat_ws(":", h["line"], h["best"]["name"], F.format_number(-h["best"]["minus"], 6)))
     return found.select("doc_id", top.alias("top"), F.coalesce(F.size("hits"), F.lit(0)).alias("n"), listed.alias("listed")).select(
@@ -134,3 +207,28 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         F.greatest("n", F.lit(0)).cast("long").alias("n_matches"),
         F.coalesce(F.array_join("listed", ";"), F.lit("")).alias("matches"),
     )
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """The columns of ``scan`` from the hits of units and the best runs of templates."""
+    top = F.array_min(F.transform("hits", lambda h: F.struct(h["best"]["minus"].alias("minus"), h["best"]["name"].alias("name"), h["line"].alias("line"), h["best"]["size"].alias("size"))))
+    listed = F.transform("hits", lambda h: F.struct(h["line"].alias("line"), h["best"]["name"].alias("name"), h["best"]["minus"].alias("minus")))
+
+    def held(h, r):
+        return ((h["line"] == 0) | h["line"].between(r["line"], r["last"])) & (h["best"]["size"] >= -r["shared"])
+
+    runs = F.filter("runs", lambda r: ~F.exists("hits", lambda h: held(h, r)))
+    more = F.transform(runs, lambda r: F.struct(r["line"].alias("line"), r["name"].alias("name"), r["minus"].alias("minus")))
+    first = F.get(runs, F.lit(0))
+    best_run = F.struct(first["minus"].alias("minus"), first["name"].alias("name"), first["line"].alias("line"))
+    best_unit = F.when(top.isNotNull(), F.struct(top["minus"].alias("minus"), top["name"].alias("name"), top["line"].alias("line")))
+    chosen = F.when(first.isNotNull() & (-first["shared"] > F.coalesce(top["size"], F.lit(0))), best_run).otherwise(best_unit)
+    out = found.select("doc_id", chosen.alias("top"), F.coalesce(F.concat(listed, more), F.array().cast("array<struct<line:int,name:string,minus:double>>")).alias("listed"))
+    return out.select(
+        "doc_id",
+        F.col("top.name").alias("licence"),
+        F.coalesce(-F.col("top.minus"), F.lit(0.0)).alias("score"),
+        F.col("top.line").alias("line"),
+        F.size("listed").cast("long").alias("n_matches"),
+        F.array_join(F.transform("listed", lambda h: F.concat_ws(":", h["line"], h["name"], F.format_number(-h["minus"], 6))), ";").alias("matches"),
+    )

@@ -45,7 +45,7 @@ def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"))
+    return licences.scan(table(spark, sf_dir, "documents"), windows=True)
 
 
 def op9_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,57 @@ def test_licences_equal_brute_force(spark):
     assert licences.scan(table(spark, [])).count() == 0
 
 
+def test_licences_in_wrapped_texts_and_sentences(spark):
+    import textwrap
+
+    rng = random.Random(6)
+    code = "\n".join(f"x{i} = call(y{i}, z{i % 7})" for i in range(40))
+    rows = []
+    for i, (n, t) in enumerate(licences.TEMPLATES.items()):
+        if n in ("MIT", "BSD-3-Clause", "Apache-2.0", "Zlib", "ISC"):
+            rows.append((i, "\n".join("# " + x for x in textwrap.wrap(t, 72)) + "\n" + code, n))
+    rows += [(50, "We wrote this over a winter. Released under the MIT License. Send us your patches when you like.", "MIT (notice)"), (51, None, None), (52, "", None), (53, "license " * 500 + code, None), (54, "software", None)]
+    got = {r["doc_id"]: r for r in licences.scan(table(spark, rows), windows=True).collect()}
+    assert {i: got[i]["licence"] for i, _, _ in rows} == {i: n for i, _, n in rows}
+    assert all(got[i]["score"] == (1.0 if n else 0.0) and got[i]["line"] == (1 if n else None) for i, _, n in rows)
+
+    t = licences.TEMPLATES
+    wide = "\n".join(textwrap.wrap(t["Apache-2.0"], 55)) + "\n" + code  # its first line is nearly the notice
+    rows = [(1, f"Hello there and welcome to our pages. {t['CC-BY-NC-4.0']} Thank you all for the help and for the many kind words.", "a"), (2, wide, "a"), (3, t["MIT (notice)"] + "\n" + code + "\nnow " + "\n".join(textwrap.wrap(t["Zlib"], 60)), "a"), (4, t["CC-BY-SA-4.0"] + "\nmore", "a")]
+    got = {r["doc_id"]: (r["licence"], r["score"], r["line"], r["n_matches"]) for r in licences.scan(table(spark, rows), windows=True).collect()}
+    assert got[1] == ("CC-BY-NC-4.0", 1.0, 1, 1) and got[2][:3] == ("Apache-2.0", 1.0, 1)
+    assert got[3] == ("Zlib", 1.0, 42, 2)
+    alone = licences.scan(table(spark, rows[3:])).first()
+    assert got[4] == (alone["licence"], alone["score"], alone["line"], alone["n_matches"])
+
+    chosen = {n: licences.TEMPLATES[n] for n in ("MIT (notice)", "ISC", "GPL-3.0", "CC-BY-4.0")}
+    rows = []
+    for i in range(40):
+        w = [x for t in rng.sample(sorted(chosen.values()), 2) for x in [*words(rng, 9, 30).split(), *(x for x in t.split() if rng.random() > 0.08)]] + words(rng, 9, 30).split()
+        rows.append((i, "".join(x + rng.choice("   \n") for x in w), "a"))
+
+    def best_runs(text):
+        w, out = licences.words_of(text), set()
+        g = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        for n, t in chosen.items():
+            b = licences.bigrams_of(t)
+            top = max(round(2 * len(b & set(g[i:j])) / (len(b) + len(set(g[i:j]))), 6) for i in range(len(g)) for j in range(i + 1, min(len(g), i + int(1.5 * len(b) + 1e-9)) + 1))
+            if top >= 0.8:
+                out.add((n, f"{top:.6f}"))
+        return out
+
+    seen = 0
+    units = {r["doc_id"]: r["n_matches"] for r in licences.scan(table(spark, rows), chosen).collect()}
+    for r in licences.scan(table(spark, rows), chosen, windows=True).collect():
+        mine = {tuple(x.split(":")[1:]) for x in r["matches"].split(";") if x}
+        want = best_runs(rows[r["doc_id"]][1])
+        if not units[r["doc_id"]]:
+            assert mine == want
+            seen += len(want)
+        assert {n for n, _ in mine} >= {n for n, _ in want} and r["n_matches"] >= len(want)
+    assert seen > 20
+
+
 # --- 4
 
 
