@@ -166,6 +166,17 @@ _register("x2_scalar_correlated", "nodes(Customer) as c | project c.c_custkey as
 _register("x3_scalar_none", "nodes(Nation) as n | project n.n_nationkey as k, scalar(nodes(Region) as r | filter r.r_regionkey = n.n_nationkey | project r.r_name) as name", "SELECT CAST(n_nationkey AS BIGINT) AS k, r_name AS name FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
 _register("x4_scalar_in_sort", "nodes(Nation) as n | sort scalar(nodes(Customer) as c | filter c.c_nationkey = n.n_nationkey | aggregate count(c.c_custkey) as k) desc | limit 5 | project n.n_nationkey as k", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation ORDER BY (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) DESC, n_nationkey LIMIT 5")
 
+# the queries above that filter by key, over their whole tables
+_register("g1_expand_out_all", "nodes(Customer) as c | expand Placed out as o | project c.c_custkey as c, o.o_orderkey as o", "SELECT o_custkey AS c, o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey")
+_register(
+    "g1_expand_both_self_all",
+    "nodes(Customer) as c | expand Follows both as d | project c.c_custkey as a, d.c_custkey as b",
+    f"WITH e AS {_FOLLOWS}, b AS (SELECT f AS a, t AS b FROM e UNION ALL SELECT t, f FROM e WHERE f <> t) SELECT b.a, b.b FROM b JOIN customer x ON x.c_custkey = b.a JOIN customer y ON y.c_custkey = b.b",
+)
+_register("g1_expand_both_distinct_all", "nodes(Orders) as o | expand Placed both as c | project o.o_orderkey as o, c.c_custkey as c", "SELECT o_orderkey AS o, o_custkey AS c FROM orders JOIN customer ON c_custkey = o_custkey")
+_register("e7_kleene_all", "nodes(Orders) as o | project o.o_orderkey as k, null and o.o_orderkey < 5 as a, null or o.o_orderkey < 5 as b, not (o.o_orderkey = null) as c", "SELECT o_orderkey AS k, NULL AND o_orderkey < 5 AS a, NULL OR o_orderkey < 5 AS b, CAST(NULL AS BOOLEAN) AS c FROM orders")
+_register("e10_float_division_all", "nodes(Orders) as o | project o.o_orderkey as k, o.o_orderkey / 4.0 as q, 1.0 / 0.0 > 5.0 as inf, 0.0 / 0.0 = 0.0 / 0.0 as nan", "SELECT o_orderkey AS k, o_orderkey / 4.0::DOUBLE AS q, true AS inf, false AS nan FROM orders")
+
 #: English questions: name -> (question, SQL)
 QUESTIONS: dict[str, tuple[str, str]] = {
     "nl_list": ("show all regions", "SELECT CAST(r_regionkey AS BIGINT) AS \"region.r_regionkey\", r_name AS \"region.r_name\", r_name AS \"region.name\" FROM region"),
