@@ -15,16 +15,19 @@ empty and linked with nothing. Texts link when 100 * |A & B| >= t * |A | B|.
      inverted lists of the single shingles of their L=1 prefix.
    The boundary is where enumerating costs as much as scanning lists, by the
    list lengths measured in the corpus.
-3. Within a key, each set is first compared with the list's head; connected
-   sets are then merged, and only sets of one key that are still in different
-   components are compared with each other, the likeliest partner in each
-   component first. So a group of n near copies costs about n comparisons, and
-   no link between components is lost.
+3. A key's list is known by its head, the smallest id in it. Each set is first
+   compared with the head that it shares most keys with; connected sets are
+   then merged. Sets that share a head (so all that share a key) and are still
+   in different components are compared with each other, the likeliest partner
+   in each component first. So a group of n near copies costs about n
+   comparisons, a pair is met once for each shared head rather than for each
+   shared key, and no link between components is lost.
 4. Candidates pass an exact bound from parity bitmaps, then the exact count.
 
 Defined results: a null text has no words; rows with a null id take no part
-and form no group; rows sharing an id belong to one vertex; extra columns are
-ignored; an empty table gives an empty table.
+and form no group; rows sharing an id are one vertex with the links of all
+their texts, each row with its own n_shingles; repeated rows stay; extra
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -44,10 +47,12 @@ SKETCH = 1 << 20
 BROADCAST_ROWS = 200_000
 #: Sets compared with one list head in one task.
 SALT_ROWS = 256
-#: Sets of one list compared in one run.
+#: Sets of one head on either side of one run of comparisons.
 LIST_ROWS = 1024
-#: Lists up to this long are joined with themselves.
+#: Heads of up to this many sets are joined with themselves.
 SHORT_LIST = 12
+#: What holds more than this share of its table is hot and met by broadcast, so at most so many are.
+HOT_SHARE = 2000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -113,7 +118,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
     def rows(kind, a, b, c, d):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *(pa.array(x, pa.int64()) for x in (a, b, c, d))], names=["kind", "id", "n", "h1", "h2"])
 
-    for batch in batches:
+    for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         ids, ns, h1, h2 = [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = shingles(text, n)
@@ -167,15 +172,15 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, boundary: int
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of the keys that two sets or more have, with the list's head.
+    """Sets and heads of the keys that two sets or more have.
 
     The stream is sorted by key and id; of a batch only the last row waits.
     """
     key, ids, head = (np.empty(0, np.int64) for _ in range(3))
     listed = np.empty(0, bool)  # whether the waiting row is known to be in a list
 
-    def out(k, i, h, keep):
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, i, h)], names=["key", "id", "head"])
+    def out(i, h, keep):
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, h)], names=["id", "head"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -190,10 +195,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[:-1] |= same[1:]
         if len(listed):
             keep[0] |= listed[0]
-        yield out(k[:-1], i[:-1], h[:-1], keep[:-1])
+        yield out(i[:-1], h[:-1], keep[:-1])
         key, ids, head, listed = k[-1:], i[-1:], h[-1:], keep[-1:]
     if len(key):
-        yield out(key, ids, head, listed)
+        yield out(ids, head, listed)
 
 
 def _boundary(sizes: list[tuple[int, int]], list_length: float, percent: int) -> int:
@@ -276,44 +281,53 @@ def _fold(maps: np.ndarray) -> np.ndarray:
     return maps[:, :half] ^ maps[:, half:]
 
 
-def _unmerged(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list that are in different components and may link.
+def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, likeliest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a head that are in different components and may link.
 
-    Sets that link have bitmaps of the same length, or one twice the other's.
-    At least one of a pair is outside the component of the list's head.
+    A run compares some of the sets outside the head's own component (role 0)
+    with some of all sets (role 1). Sets that link have bitmaps of the same
+    length, or one twice the other's. With ``likeliest`` a set gets at most
+    one partner in each component.
     """
-    for (_, i, j), run in sorted_runs(batches, "key", "i", "j"):
-        ids, n, comp, main, own = (run[c].to_numpy() for c in ("id", "n", "comp", "main", "own"))
+    for _, run in sorted_runs(batches, "head", "j", "s"):
+        role, ids, n, comp, main = (run[c].to_numpy() for c in ("role", "id", "n", "comp", "main"))
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for chunk in run["map"].chunks for x in chunk]
         width = np.array([len(x) for x in raw])
         maps, at = {}, {}
-        for w in np.unique(width):
-            at[w] = np.flatnonzero(width == w)
+        for w in np.unique(width[role == 1]):
+            at[w] = np.flatnonzero((width == w) & (role == 1))
             maps[w] = np.stack([raw[k] for k in at[w]])
         folded = {w: _fold(m) for w, m in maps.items() if w > 8}
         out_a, out_b, out_c, out_s = [], [], [], []
-        for x in np.flatnonzero(comp != main):
+        for x in np.flatnonzero(role == 0):
             w = width[x]
             mine = raw[x][None, :]
+            found = []
             for other, theirs, my in ((w, maps.get(w), mine), (2 * w, folded.get(2 * w), mine), (w // 2, maps.get(w // 2), _fold(mine) if w > 8 else mine)):
                 if theirs is None:
                     continue
                 k = at[other]
                 ok = (comp[k] != comp[x]) & (100 * np.minimum(n[k], n[x]) >= percent * np.maximum(n[k], n[x]))
                 ok &= (comp[k] == main[k]) | (ids[k] < ids[x])
-                if i != j:
-                    ok &= own[k] != own[x]
                 hit = np.flatnonzero(ok)
                 if not len(hit):
                     continue
                 k = k[hit]
                 most = (n[k] + n[x] - np.bitwise_count(theirs[hit] ^ my).sum(1, dtype=np.int64)) // 2
                 fits = (100 + percent) * most >= percent * (n[k] + n[x])
-                k, most = k[fits], most[fits]
-                out_a.append(np.full(len(k), ids[x]))
-                out_b.append(ids[k])
-                out_c.append(comp[k])
-                out_s.append(most / (n[k] + n[x]))
+                found.append((k[fits], (most / (n[k] + n[x]))[fits]))
+            if not found:
+                continue
+            k, share = (np.concatenate(c) for c in zip(*found))
+            if likeliest and len(k) > 1:
+                order = np.lexsort((ids[k], -share))
+                k, share = k[order], share[order]
+                first = np.unique(comp[k], return_index=True)[1]
+                k, share = k[first], share[first]
+            out_a.append(np.full(len(k), ids[x]))
+            out_b.append(ids[k])
+            out_c.append(comp[k])
+            out_s.append(share)
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_a, out_b, out_c, out_s)], names=["a", "b", "cb", "share"])
 
@@ -328,26 +342,91 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([x.filter(fits) for x in (batch.column("a"), batch.column("b"), batch.column("cb"), share)], names=["a", "b", "cb", "share"])
 
 
-def _apart(lists: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, likeliest: bool) -> DataFrame:
     """Candidate pairs (a, b) in different components, with b's component and a bound.
 
-    Short lists are joined with themselves, which makes a few rows for each
-    entry; long ones are cut into blocks, and each pair of blocks is a run.
+    The sets of a head with few are joined with themselves; of one with many,
+    those outside the head's component meet all others in runs of LIST_ROWS by
+    LIST_ROWS. So what is copied is what still has to be compared.
     """
-    placed = lists.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("main"), F.count("*").alias("many"), F.ceil(F.count("*") / LIST_ROWS).alias("blocks")).where("lo < hi").select("key", "main", "many", "blocks")
-    rows = placed.join(mixed, "key")
-    short = stage_table(rows.where(f"many <= {SHORT_LIST}").join(reps.select("id", "n"), "id").select("key", "id", "comp", "n"))
-    x, y = (short.select("key", F.col("id").alias(i), F.col("comp").alias(c), F.col("n").alias(k)) for i, c, k in (("a", "ca", "na"), ("b", "cb", "nb")))
-    near = x.join(y, "key").where(f"a > b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "cb", "na", "nb").distinct()
+    placed = shared.join(comp, "id", "left").select("head", "id", F.coalesce("comp", "id").alias("comp"))
+    parts = placed.groupBy("head", "comp").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    mixed = parts.groupBy("head").agg(F.count("*").alias("comps"), F.sum("n").alias("many"), F.min_by("comp", "lo").alias("main"), F.min_by("n", "lo").alias("inside")).where("comps > 1")
+    mixed = mixed.select("head", "main", "many", F.ceil(F.col("many") / LIST_ROWS).alias("js"), F.ceil((F.col("many") - F.col("inside")) / LIST_ROWS).alias("ss"))
+    rows = stage_table(placed.join(mixed, "head").join(reps.select("id", "n"), "id"))
+    x, y = (rows.where(f"many <= {SHORT_LIST}").select("head", F.col("id").alias(i), F.col("comp").alias(c), F.col("n").alias(k)) for i, c, k in (("a", "ca", "na"), ("b", "cb", "nb")))
+    near = x.join(y, "head").where(f"a > b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "cb", "na", "nb").distinct()
     m = reps.select("id", "map")
     near = near.join(m.select(F.col("id").alias("a"), F.col("map").alias("ma")), "a").join(m.select(F.col("id").alias("b"), F.col("map").alias("mb")), "b")
     near = near.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, cb long, share double")
-    rows = rows.where(f"many > {SHORT_LIST}").join(reps.select("id", "n", "map"), "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "id", "comp", "main", "n", "map")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return stage_table(near.union(rows.mapInArrow(lambda x: _unmerged(x, percent), "a long, b long, cb long, share double").dropDuplicates(["a", "b"])))
+
+    many = rows.where(f"many > {SHORT_LIST}").join(m, "id").withColumn("h", F.xxhash64("id"))
+
+    def side(df, role, j, s):
+        return df.select("head", j.alias("j"), s, F.lit(role).alias("role"), "id", "comp", "main", "n", "map")
+
+    def each(n):
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    seekers = side(many.where("comp <> main").withColumn("j", F.explode(each("js"))), 0, F.col("j"), F.pmod(F.shiftright("h", 20), F.col("ss")).alias("s"))
+    sought = side(many.withColumn("s", F.explode(each("ss"))), 1, F.pmod("h", F.col("js")), F.col("s"))
+    runs = seekers.union(sought).repartition("head", "j", "s").sortWithinPartitions("head", "j", "s", "role")
+    return stage_table(near.union(runs.mapInArrow(lambda it: _unmerged(it, percent, likeliest), "a long, b long, cb long, share double").dropDuplicates(["a", "b"])))
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the graph of components is solved anew."""
+    edges = links.select("a", "b")
+    for end in "ab":
+        edges = edges.join(comp.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+    more = connected_components(edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    new = more.select("id", F.col("comp").alias("to"))
+    moved = comp.join(new.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return stage_table(moved.union(new.join(comp.select("id"), "id", "left_anti").select("id", F.col("to").alias("comp"))))
+
+
+def _copies(rows: DataFrame, total: int) -> DataFrame:
+    """id, n and rep of every row: the smallest id that has the same set.
+
+    Groups of many copies are few, so they are met by broadcast and no task
+    gets all rows of one.
+    """
+    same = ["h1", "h2", "n"]
+    groups = stage_table(rows.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("many")))
+    hot = F.broadcast(groups.where(F.col("many") > max(1, total // HOT_SHARE)).select(*same, "rep"))
+    single = groups.where("many = 1").select(F.col("rep").alias("id"), "n", "rep")
+    few = groups.where(F.col("many").between(2, max(1, total // HOT_SHARE))).select(*same, "rep")
+    some = rows.join(hot, same, "left_anti").join(few, same)
+    return stage_table(single.union(rows.join(hot, same).select("id", "n", "rep")).union(some.select("id", "n", "rep")))
+
+
+def _key_loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many keys fall in each of SKETCH slots."""
+    counts = np.zeros(SKETCH, np.int64)
+    for b in batches:
+        k = b.column(0).flatten().to_numpy() & (SKETCH - 1)
+        counts += np.bincount(k, minlength=SKETCH)
+    at = np.flatnonzero(counts)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """id, head and how many keys they share, for every key of two sets or more."""
+    entries = reps.select(F.explode("keys").alias("key"), "id")
+    loads = reps.select("keys").mapInArrow(_key_loads, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    loads = stage_table(loads)  # SKETCH rows at most
+    total = loads.agg(F.sum("n")).first()[0] or 0
+    slots = F.broadcast(loads.where(F.col("n") > max(100, total // HOT_SHARE)).select("slot"))
+    slot = F.col("key").bitwiseAND(F.lit(SKETCH - 1).cast("long"))
+    entries = entries.withColumn("slot", slot)
+    # the lists of very common keys never meet in one task: only their heads do
+    common = entries.join(slots, "slot")
+    heads = stage_table(common.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head"))
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
+    rest = entries.join(slots, "slot", "left_anti").select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+    pairs = rest.mapInArrow(_lists, "id long, head long").union(common.join(heads, "key").select("id", "head"))
+    return stage_table(pairs.groupBy("id", "head").agg(F.count("*").alias("keys")))
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | None = None) -> DataFrame:
@@ -363,49 +442,60 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
     hot = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # SKETCH rows at most
     at, count = hot["id"].to_numpy(np.int64), np.minimum(hot["n"].to_numpy(np.int64), 2**32 - 1).astype(np.uint32)
     shipped = spark.sparkContext.broadcast((at, count))
+    step = F.pow(F.lit(1.1), F.floor(F.log(1.1, "n"))).cast("long")
+    sizes = [(int(r[0]), int(r[1])) for r in rows.where("n > 0").groupBy(step.alias("s")).count().collect()]
     if boundary is None:
-        step = F.pow(F.lit(1.1), F.floor(F.log(1.1, "n"))).cast("long")
-        sizes = [(int(r[0]), int(r[1])) for r in rows.where("n > 0").groupBy(step.alias("s")).count().collect()]
         words = sum(s * c for s, c in sizes)
         boundary = _boundary(sizes, float((count.astype(np.float64) ** 2).sum()) / max(1, words), percent)
 
-    groups = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    members = stage_table(rows.where("n > 0").join(groups, ["h1", "h2", "n"]).select("id", "n", "rep"))
+    members = _copies(rows.where("n > 0"), sum(c for _, c in sizes))
     copies = stage_table(members.groupBy("id").agg(F.max(F.expr("int(id = rep)")).alias("own")).where("own = 0").select("id"))
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
     keyed = d.mapInArrow(lambda x: _keys(x, n, percent, boundary, shipped), "id long, n long, keys array<long>, map binary")
     reps = stage_table(keyed.join(copies, "id", "left_anti"))
 
-    entries = reps.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    lists = stage_table(entries.mapInArrow(_lists, "key long, id long, head long"))
-    best = lists.where("id <> head").groupBy("id", "head").count().groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
-    first = _verify(best.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, d, n, percent)
-    comp = connected_components(first)
-
-    links = first
-    for last in (False, True):
-        rest = _apart(lists, comp, reps, percent)
-        if not last:  # first the likeliest partner of each set in each other component
-            best = F.max_by("b", F.struct("share", -F.col("b")))
-            rest = rest.groupBy("a", "cb").agg(best.alias("b"))
-        links = links.union(_verify(rest.select("a", "b"), reps, d, n, percent))
-        if not last:
-            comp = connected_components(links)
-
-    doubled = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # one id, several texts
-    twins = members.join(doubled.select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    final = connected_components(links.union(twins))
-    out = rows.where("n = 0").select("id", "n", F.col("id").alias("rep")).union(members)
-    out = out.join(final.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+    shared = _shared(reps)
+    best = shared.where("id <> head").groupBy("id").agg(F.max_by("head", F.struct("keys", -F.col("head"))).alias("head"))
+    comp = stage_table(connected_components(_verify(best.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, d, n, percent)))
+
+    for likeliest in (True, False):
+        rest = _apart(shared, comp, reps, percent, likeliest)
+        if likeliest:  # first the likeliest partner of each set in each other component
+            rest = rest.groupBy("a", "cb").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
+        comp = _joined(comp, _verify(rest.select("a", "b"), reps, d, n, percent))
+
+    every = rows.where("n = 0").select("id", "n", F.col("id").alias("rep")).union(members)
+    doubled = every.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # one id, several texts
+    final = _joined(comp, every.join(doubled.select("id"), "id").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    out = every.join(final.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each near-duplicate group, the one with the smallest id.
+    """One row of each near-duplicate group, the one with the smallest id, all columns kept.
 
-    All columns stay; rows with a null id stay as they are.
+    Rows with one id and different texts are judged by their texts; of rows
+    with the same id and text the first by all columns stays, map columns and
+    the like aside. Rows with a null id stay as they are. Inside, a row is
+    known by a 64-bit hash of its id and text.
     """
-    spare = components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(spare, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    own = "__row"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.where("doc_id is not null").withColumn(own, F.xxhash64("doc_id", "text"))
+    found = components(rows.select(F.col(own).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
+    ids = stage_table(rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id")))
+    grouped = found.join(found.where("row <> comp").select("comp").distinct(), "comp").distinct()
+    grouped = stage_table(grouped.join(ids, "row").distinct())
+    first = grouped.groupBy("comp").agg(F.min(F.struct("id", "row")).alias("first"))
+    spare = stage_table(grouped.join(first, "comp").where("row <> first.row").select("row").distinct())
+    twice = stage_table(ids.groupBy("row").count().where("count > 1").select("row").join(spare, "row", "left_anti"))
+    spare, twice = (F.broadcast(x) if x.count() <= BROADCAST_ROWS else x for x in (spare, twice))
+    kept = rows.join(spare, rows[own] == spare["row"], "left_anti")
+    once = kept.join(twice, kept[own] == twice["row"], "left_anti").select(*docs.columns)
+    again = kept.join(twice, kept[own] == twice["row"], "left_semi")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(*(F.col(f"`{c}`") for c in plain))
+    again = again.groupBy(own).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("first")).select("first.*")
+    return once.union(again).union(docs.where("doc_id is null"))

@@ -65,8 +65,25 @@ def linked(rows, n, percent):
 
 @pytest.mark.parametrize("n, percent, boundary", [(4, 85, None), (5, 80, 0), (5, 80, 10_000 // 100)])
 def test_jaccard_components(spark, awkward, n, percent, boundary):
-    got = jaccard.components(table(spark, awkward), n, percent, boundary)
-    assert sorted(tuple(r) for r in got.collect()) == linked(awkward, n, percent)
+    rows = awkward + [(5, "", "a"), (8, "x y", "b"), (8, "seven", "b"), (9, "", None), (9, "one two", "a")]
+    got = jaccard.components(table(spark, rows), n, percent, boundary)
+    assert sorted(tuple(r) for r in got.collect()) == linked(rows, n, percent)
+
+
+def test_jaccard_large_groups(spark):
+    """Near copies of one text, stragglers at its edge, and unlike texts that share a passage."""
+    rng = random.Random(12)
+    base, passage = words(rng, 60, 5000).split(), words(rng, 30, 5000)
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 1, 2, 3))):
+            w[rng.randrange(60)] = f"e{rng.randrange(50)}"
+        rows.append((i * 3 % 4507, " ".join(w), "a"))
+    rows += [(5000 + i, passage + " " + words(rng, 8, 5000), "b") for i in range(400)]
+    rows += [(6000 + i, "copied text of one group", "c") for i in range(1500)]
+    got = jaccard.components(table(spark, rows), 4, 85)
+    assert sorted(tuple(r) for r in got.collect()) == linked(rows, 4, 85)
 
 
 def test_jaccard_keeps_one_of_each_and_takes_an_empty_table(spark, awkward):
@@ -74,7 +91,15 @@ def test_jaccard_keeps_one_of_each_and_takes_an_empty_table(spark, awkward):
     assert kept.columns == table(spark, []).columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert 200 in ids and not set(range(201, 230)) & set(ids) and ids.count(7) == 1 and None in ids
-    assert jaccard.components(table(spark, [])).count() == 0
+    assert jaccard.components(table(spark, [])).count() == 0 and jaccard.one_of_each(table(spark, [])).count() == 0
+
+
+def test_jaccard_keeps_other_texts_of_one_id(spark):
+    text = words(random.Random(1), 40)
+    rows = [(3, text, "a"), (2, text + " end", "b"), (2, "quite another text of this id", "z"), (2, "quite another text of this id", "y"), (2, text + " end", "b"), (None, text, "n"), (None, None, None), (4, "", "e"), (5, None, "e")]
+    kept = jaccard.one_of_each(table(spark, rows)).collect()
+    key = lambda r: str(r)
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in kept), key=key) == sorted([rows[1], rows[3], *rows[5:]], key=key)
 
 
 def test_bitmap_bound_never_undercounts():
