@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOCAL_SHARED = "/tmp/graphquarry-shared"
+#: Small rows of one file.
+FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,22 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def stage_table(df: DataFrame, *partition_by: str) -> DataFrame:
+def stage_table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return what was written.
 
     This cuts lineage: later jobs reread the files, so losing an executor
-    never recomputes (or changes) what has been written.
+    never recomputes (or changes) what has been written. Of a table that is
+    known to have about ``rows`` small rows, few files are made.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphquarry/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with as many underscores as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def first_rows(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """``by`` and ``columns`` of the first row by all columns of each value of ``by``; unordered kinds don't count."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    order = F.struct(*(F.col(f"`{c}`") for c in columns if "map<" not in kinds[c] and "variant" not in kinds[c]))
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    return df.groupBy(by).agg(F.min_by(whole, order).alias("first")).select(by, "first.*")
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
     """Group a stream sorted by ``keys``; only one group is held at a time."""
     held: list[pa.RecordBatch] = []
@@ -68,14 +89,6 @@ def sorted_runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple
         yield current, pa.Table.from_batches(held)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def record_batch(spec: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, spec)], names=[n for n, _ in spec])
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every vertex of an undirected graph.
 
@@ -90,14 +103,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stage_table(e)
-    before = None
+    size, before = e.count(), None
+    if not size:
+        return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m2 = least(large)
         small = large.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(m2.select("u", F.col("m").alias("v"))).distinct()
-        e = stage_table(small)
+        e = stage_table(small, 2 * size)  # a star has no more edges than the graph, plus its vertices
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == before:
             break

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import connected_components, sorted_runs, stage_table
+from graphquarry.llm.common import connected_components, first_rows, sorted_runs, stage_table, unused
 
 SKETCH = 1 << 20
 #: Rows up to which a table of ids is broadcast; beyond, the join shuffles.
@@ -51,6 +51,8 @@ SALT_ROWS = 256
 LIST_ROWS = 1024
 #: Heads of up to this many sets are joined with themselves.
 SHORT_LIST = 12
+#: Likeliest partners of a set in one component that are named at once; what else there is takes a second search.
+PARTNERS = 8
 #: What holds more than this share of its table is hot and met by broadcast, so at most so many are.
 HOT_SHARE = 2000
 
@@ -264,7 +266,10 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     )
     cand = stage_table(cand.mapInArrow(lambda x: _close(x, percent), "a long, b long"))
-    ids = stage_table(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    size = cand.count()
+    if not size:
+        return cand
+    ids = stage_table(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * size)
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     sets = docs.join(ids, "id", "left_semi").mapInArrow(lambda x: _sets(x, n), "id long, items binary")
@@ -281,13 +286,13 @@ def _fold(maps: np.ndarray) -> np.ndarray:
     return maps[:, :half] ^ maps[:, half:]
 
 
-def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, likeliest: bool) -> Iterator[pa.RecordBatch]:
+def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, partners: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of a head that are in different components and may link.
 
     A run compares some of the sets outside the head's own component (role 0)
     with some of all sets (role 1). Sets that link have bitmaps of the same
-    length, or one twice the other's. With ``likeliest`` a set gets at most
-    one partner in each component.
+    length, or one twice the other's. A set gets at most ``partners`` in a
+    component, the likeliest, and ``more`` says whether it had others.
     """
     for _, run in sorted_runs(batches, "head", "j", "s"):
         role, ids, n, comp, main = (run[c].to_numpy() for c in ("role", "id", "n", "comp", "main"))
@@ -298,7 +303,7 @@ def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, likeliest: bool)
             at[w] = np.flatnonzero((width == w) & (role == 1))
             maps[w] = np.stack([raw[k] for k in at[w]])
         folded = {w: _fold(m) for w, m in maps.items() if w > 8}
-        out_a, out_b, out_c, out_s = [], [], [], []
+        out_a, out_b, out_c, out_s, out_m = [], [], [], [], []
         for x in np.flatnonzero(role == 0):
             w = width[x]
             mine = raw[x][None, :]
@@ -319,17 +324,21 @@ def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, likeliest: bool)
             if not found:
                 continue
             k, share = (np.concatenate(c) for c in zip(*found))
-            if likeliest and len(k) > 1:
-                order = np.lexsort((ids[k], -share))
+            more = np.zeros(len(k), bool)
+            if partners is not None and len(k) > partners:
+                order = np.lexsort((ids[k], -share, comp[k]))
                 k, share = k[order], share[order]
-                first = np.unique(comp[k], return_index=True)[1]
-                k, share = k[first], share[first]
+                first = np.searchsorted(comp[k], comp[k], "left")
+                more = np.searchsorted(comp[k], comp[k], "right") - first > partners
+                keep = np.arange(len(k)) - first < partners
+                k, share, more = k[keep], share[keep], more[keep]
             out_a.append(np.full(len(k), ids[x]))
             out_b.append(ids[k])
             out_c.append(comp[k])
             out_s.append(share)
+            out_m.append(more)
         if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_a, out_b, out_c, out_s)], names=["a", "b", "cb", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_a, out_b, out_c, out_s, out_m)], names=["a", "b", "cb", "share", "more"])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -342,23 +351,30 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([x.filter(fits) for x in (batch.column("a"), batch.column("b"), batch.column("cb"), share)], names=["a", "b", "cb", "share"])
 
 
-def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+_PAIR = "a long, b long, cb long, share double, more boolean"
+
+
+def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, only: DataFrame | None = None) -> DataFrame:
     """Candidate pairs (a, b) in different components, with b's component and a bound.
 
     The sets of a head with few are joined with themselves; of one with many,
     those outside the head's component meet all others in runs of LIST_ROWS by
-    LIST_ROWS. So what is copied is what still has to be compared.
+    LIST_ROWS. So what is copied is what still has to be compared. With
+    ``only`` (ids) just pairs of those with all their partners are sought.
     """
     placed = shared.join(comp, "id", "left").select("head", "id", F.coalesce("comp", "id").alias("comp"))
     parts = placed.groupBy("head", "comp").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
     mixed = parts.groupBy("head").agg(F.count("*").alias("comps"), F.sum("n").alias("many"), F.min_by("comp", "lo").alias("main"), F.min_by("n", "lo").alias("inside")).where("comps > 1")
     mixed = mixed.select("head", "main", "many", F.ceil(F.col("many") / LIST_ROWS).alias("js"), F.ceil((F.col("many") - F.col("inside")) / LIST_ROWS).alias("ss"))
+    mixed = stage_table(mixed)
+    if mixed.count() <= BROADCAST_ROWS:
+        mixed = F.broadcast(mixed)
     rows = stage_table(placed.join(mixed, "head").join(reps.select("id", "n"), "id"))
     x, y = (rows.where(f"many <= {SHORT_LIST}").select("head", F.col("id").alias(i), F.col("comp").alias(c), F.col("n").alias(k)) for i, c, k in (("a", "ca", "na"), ("b", "cb", "nb")))
     near = x.join(y, "head").where(f"a > b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "cb", "na", "nb").distinct()
     m = reps.select("id", "map")
     near = near.join(m.select(F.col("id").alias("a"), F.col("map").alias("ma")), "a").join(m.select(F.col("id").alias("b"), F.col("map").alias("mb")), "b")
-    near = near.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, cb long, share double")
+    near = near.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, cb long, share double").withColumn("more", F.lit(False))
 
     many = rows.where(f"many > {SHORT_LIST}").join(m, "id").withColumn("h", F.xxhash64("id"))
 
@@ -368,10 +384,15 @@ def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, li
     def each(n):
         return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
 
-    seekers = side(many.where("comp <> main").withColumn("j", F.explode(each("js"))), 0, F.col("j"), F.pmod(F.shiftright("h", 20), F.col("ss")).alias("s"))
+    seeking = many.where("comp <> main") if only is None else many.where("comp <> main").join(only, "id", "left_semi")
+    partners = PARTNERS if only is None else None
+    seekers = side(seeking.withColumn("j", F.explode(each("js"))), 0, F.col("j"), F.pmod(F.shiftright("h", 20), F.col("ss")).alias("s"))
     sought = side(many.withColumn("s", F.explode(each("ss"))), 1, F.pmod("h", F.col("js")), F.col("s"))
     runs = seekers.union(sought).repartition("head", "j", "s").sortWithinPartitions("head", "j", "s", "role")
-    return stage_table(near.union(runs.mapInArrow(lambda it: _unmerged(it, percent, likeliest), "a long, b long, cb long, share double").dropDuplicates(["a", "b"])))
+    found = runs.mapInArrow(lambda it: _unmerged(it, percent, partners), _PAIR)
+    if only is None:
+        found = near.union(found)
+    return stage_table(found.groupBy("a", "b", "cb").agg(F.max("share").alias("share"), F.max("more").alias("more")))
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -385,6 +406,13 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return stage_table(moved.union(new.join(comp.select("id"), "id", "left_anti").select("id", F.col("to").alias("comp"))))
 
 
+def _still_apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in "ab":
+        pairs = pairs.join(comp.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+    return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
 def _copies(rows: DataFrame, total: int) -> DataFrame:
     """id, n and rep of every row: the smallest id that has the same set.
 
@@ -459,11 +487,14 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
     best = shared.where("id <> head").groupBy("id").agg(F.max_by("head", F.struct("keys", -F.col("head"))).alias("head"))
     comp = stage_table(connected_components(_verify(best.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, d, n, percent)))
 
-    for likeliest in (True, False):
-        rest = _apart(shared, comp, reps, percent, likeliest)
-        if likeliest:  # first the likeliest partner of each set in each other component
-            rest = rest.groupBy("a", "cb").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
-        comp = _joined(comp, _verify(rest.select("a", "b"), reps, d, n, percent))
+    pairs = _apart(shared, comp, reps, percent)
+    likeliest = pairs.groupBy("a", "cb").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b")).select("a", "b")
+    comp = _joined(comp, _verify(likeliest, reps, d, n, percent))
+    rest = _still_apart(pairs.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), comp)
+    comp = _joined(comp, _verify(rest, reps, d, n, percent))
+    only = stage_table(pairs.where("more").select(F.col("a").alias("id")).distinct())
+    if only.head() is not None:
+        comp = _joined(comp, _verify(_still_apart(_apart(shared, comp, reps, percent, only).select("a", "b"), comp), reps, d, n, percent))
 
     every = rows.where("n = 0").select("id", "n", F.col("id").alias("rep")).union(members)
     doubled = every.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # one id, several texts
@@ -480,9 +511,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     the like aside. Rows with a null id stay as they are. Inside, a row is
     known by a 64-bit hash of its id and text.
     """
-    own = "__row"
-    while own in docs.columns:
-        own += "_"
+    own = unused("__row", docs.columns)
     rows = docs.where("doc_id is not null").withColumn(own, F.xxhash64("doc_id", "text"))
     found = components(rows.select(F.col(own).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
     ids = stage_table(rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id")))
@@ -495,7 +524,5 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     kept = rows.join(spare, rows[own] == spare["row"], "left_anti")
     once = kept.join(twice, kept[own] == twice["row"], "left_anti").select(*docs.columns)
     again = kept.join(twice, kept[own] == twice["row"], "left_semi")
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    order = F.struct(*(F.col(f"`{c}`") for c in plain))
-    again = again.groupBy(own).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("first")).select("first.*")
+    again = first_rows(again, own, docs.columns).select(*(F.col(f"`{c}`") for c in docs.columns))
     return once.union(again).union(docs.where("doc_id is null"))
