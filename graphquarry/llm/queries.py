@@ -9,7 +9,8 @@ from graphquarry.llm.common import table
 
 
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    """The tables hold no tool calls, so each line of a user's turn is made one (``chat.derived``)."""
+    return chat.link(chat.derived(table(spark, sf_dir, "conversations")), chat.LINE_SCHEMAS)
 
 
 def op4_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
