@@ -16,8 +16,10 @@ land by keeping the document total only.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; a source without words has target 0; rows sharing an id are
-drawn separately; extra columns are ignored by ``mix`` and kept by ``mixed``;
-an empty table gives an empty table. Draws depend on ids and the seed only.
+drawn separately; rows with the same id, source and text are copies of one row,
+of which ``mixed`` writes the first by all columns as often as they are taken
+together; extra columns are ignored by ``mix`` and kept by ``mixed``; an empty
+table gives an empty table. Draws depend on the rows and the seed only.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import WORD, stage_table
+from graphquarry.llm.common import WORD, first_rows, stage_table, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -121,23 +123,33 @@ def _settle(df: DataFrame, counts: DataFrame, level: int, last: bool, seed: int)
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         # the units that stay undecided are among the last, so the small ones come last
-        pdf = pdf.sort_values(["size", "h", "doc_id", "nth"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "h", "doc_id", "t", "nth"], ascending=[False, True, True, True, True], kind="stable")
         rng = np.random.default_rng([seed, level, int(pdf["h"].iloc[0]) & 0xFFFFFFFF, len(pdf)])
         pdf["p"] = flight(pdf["p"].to_numpy(np.float64), pdf["size"].to_numpy(np.float64), rng, last)
-        return pdf[["source", "doc_id", "size", "nth", "h", "base", "p"]]
+        return pdf[["source", "doc_id", "size", "t", "nth", "h", "base", "p"]]
 
     keyed = df.join(counts, F.expr("source <=> of"))
     keyed = keyed.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks"))).otherwise(0))
-    return keyed.groupBy("source", "block").applyInPandas(fly, "source string, doc_id long, size long, nth long, h long, base int, p double")
+    return keyed.groupBy("source", "block").applyInPandas(fly, "source string, doc_id long, size long, t long, nth long, h long, base int, p double")
 
 
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _keyed(docs: DataFrame) -> list:
+    """What tells rows apart: id, source, size and a hash of the text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("t")]
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and times of every row."""
-    d = stage_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    out = _drawn(docs, weights, budget, cap, seed)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "times")
+
+
+def _drawn(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    d = stage_table(docs.select(*_keyed(docs)))
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, budget, cap)
     goal = stage_table(goal.withColumnRenamed("source", "of"))
     n_sources, most = goal.agg(F.count("*"), F.max("n_docs")).first()
@@ -147,10 +159,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + 1e-12)
     rows = d.join(goal, F.expr("source <=> of")).withColumn("base", base.cast("int")).withColumn("p", F.greatest(rate - base, F.lit(0.0)))
-    # rows that share an id and a size are told apart by a count
-    same = Window.partitionBy("source", "doc_id", "size").orderBy("base")
-    rows = rows.withColumn("nth", F.row_number().over(same).cast("long")).withColumn("h", F.xxhash64("doc_id", "size", "nth", F.lit(seed)))
-    open_rows = rows.select("source", "doc_id", "size", "nth", "h", "base", "p")
+    # copies of one row are told apart by a count, which needs no ordering of them
+    once = rows.groupBy("source", "doc_id", "size", "t").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("p").alias("p"))
+    rows = once.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    open_rows = rows.select("source", "doc_id", "size", "t", "nth", F.xxhash64("doc_id", "size", "t", "nth", F.lit(seed)).alias("h"), "base", "p")
     done, level, many = [], 0, int(most or 0)
     counts = goal.select("of", F.ceil(F.col("n_docs") / BLOCK).alias("blocks"))
     while True:
@@ -169,14 +181,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     for more in done[1:]:
         settled = settled.union(more)
     times = F.col("base") + F.col("p").cast("int")
-    return settled.join(goal.select("of", "source_size", "target"), F.expr("source <=> of")).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.alias("times"))
+    taken = (F.col("size") * times).cast("long").alias("taken")
+    return settled.join(goal.select("of", "source_size", "target"), F.expr("source <=> of")).select("doc_id", "source", "size", "t", "source_size", "target", taken, times.alias("times"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: every document as often as it is taken, all columns kept.
-
-    Rows sharing an id are taken as often as the first of them.
-    """
-    times = mix(docs, **options).groupBy("doc_id").agg(F.max("times").alias("__times")).where("`__times` > 0").withColumnRenamed("doc_id", "__id")
-    out = docs.join(times, F.expr("doc_id <=> `__id`"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    """The rows of the mix: every row as often as it is taken, all columns kept."""
+    names = {c: unused(f"__{c}", docs.columns) for c in ("doc_id", "source", "size", "t", "n", "times", "row", "copy")}
+    n, times, row, copy = (names[c] for c in ("n", "times", "row", "copy"))
+    keys = [names[c] for c in ("doc_id", "source", "size", "t")]
+    drawn = _drawn(docs, **options).groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+    drawn = stage_table(drawn.where("times > 0")).withColumnsRenamed(names)
+    own = [c.alias(k) for c, k in zip(_keyed(docs), keys)]
+    out = docs.select("*", *own).alias("d").join(drawn.alias("m"), [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
+    out = out.select("d.*", n, times)
+    single = out.where(F.col(n) == 1)
+    several = first_rows(out.where(F.col(n) > 1).withColumn(row, F.struct(*keys)), row, [*docs.columns, times])
+    both = single.select(*(F.col(f"`{c}`") for c in docs.columns), times).union(several.drop(row))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long")))).select(*(F.col(f"`{c}`") for c in docs.columns))

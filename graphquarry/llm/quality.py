@@ -9,8 +9,11 @@ the text itself; the document's id, source, language and labels are never
 inputs.
 
 Defined results: a null or empty text scores as a text without words; a text
-of any length is scored whole; equal texts score equally; extra columns are
-ignored. With no labelled rows at all (or one class only) the model is the
+of any length is scored whole; equal texts score equally; rows sharing an id,
+repeated ones too, are scored each; of a labelled id's rows one is learnt from,
+the first by its features' checksum; a null id has no label and isn't held out;
+extra columns are ignored, and kept by ``keep_good``; empty tables give empty
+tables. With no labelled rows at all (or one class only) the model is the
 constant prior (0.5 without labels).
 """
 
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm.common import unused
+
 N_WORDS = 1 << 15
 STAT_BINS = 12
 N_STATS = 12
@@ -173,9 +178,9 @@ def held_out(doc_id) -> "F.Column":
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> FactorisationMachine:
     """Fit on at most ``max_rows`` labelled rows that are not held out.
 
-    The bound makes what is broadcast (ids) and gathered (sparse features)
-    constant whatever the size of the tables. Conflicting labels of one id
-    count as 0; null ids or labels are passed over.
+    The bound makes what is broadcast (ids) and gathered (sparse features, one
+    row an id) constant whatever the size of the tables. Conflicting labels of
+    one id count as 0; null ids or labels are passed over.
     """
     d, lab = docs.select("doc_id", "text"), labels.select("doc_id", "quality")
     chosen = (
@@ -192,12 +197,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         for b in batches:
             rows = [features(t, slots) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("quality").cast(pa.int32()), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
-                names=["doc_id", "quality", "idx", "val"],
+                [b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), pa.array([zlib.crc32(i.tobytes() + v.tobytes()) for i, v in rows], pa.int64()), *(pa.array([x[k].tobytes() for x in rows], pa.binary()) for k in (0, 1))],
+                names=["doc_id", "quality", "sum", "idx", "val"],
             )
 
-    got = d.join(F.broadcast(chosen), "doc_id").mapInArrow(encode, "doc_id long, quality int, idx binary, val binary").toArrow()
-    order = np.lexsort((np.array([zlib.crc32(x) for x in got["idx"].to_pylist()], np.int64), got["doc_id"].to_numpy()))
+    encoded = d.join(F.broadcast(chosen), "doc_id").mapInArrow(encode, "doc_id long, quality int, sum long, idx binary, val binary")
+    one = F.min(F.struct("sum", "idx", "val", "quality")).alias("one")
+    got = encoded.groupBy("doc_id").agg(one).select("doc_id", "one.*").toArrow()  # max_rows at most
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     idx, val, y = got["idx"].to_pylist(), got["val"].to_pylist(), got["quality"].to_numpy()
     rows = [(np.frombuffer(idx[i], np.int32), np.frombuffer(val[i], np.float32)) for i in order]
     return FactorisationMachine().fit(rows, (y[order] > 0).astype(np.float64))
@@ -227,8 +234,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier accepts, with all their columns."""
-    name = "__quality_score"
-    while name in docs.columns:
-        name += "_"
+    name = unused("__quality_score", docs.columns)
     model = train(docs, labels)
     return docs.withColumn(name, score_column(docs.sparkSession, model, F.col("text"))).where(F.col(name) >= THRESHOLD).drop(name)
