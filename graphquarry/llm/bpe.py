@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphquarry.llm import blocks as B
-from graphquarry.llm.common import sorted_runs
 
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters only are cut by ``re``, which is the faster one.
@@ -64,22 +63,23 @@ def _merge(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterat
     import tiktoken
 
     core = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-    for (bucket,), run in sorted_runs(batches, "bucket"):
-        known: dict[bytes, list[int]] = {}  # of this bucket: each word is merged once
-        rows = []
-        for block, packed in zip(run["block"].to_pylist(), run["data"].to_pylist()):
-            got = []
-            for w in B.unpack_words(packed):
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = [ranks[w]] if w in ranks else core._encode_single_piece(w)
-                got.append(ids)
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32)
-            rows.append((1, block, int(bucket), None, None, len(got), B.pack(flat), B.pack(np.fromiter(map(len, got), np.uint32, len(got)))))
-            if len(rows) >= 2000:
-                yield B.batch(rows)
-                rows = []
-        yield B.batch(rows)
+    known: dict[bytes, list[int]] = {}  # of this bucket: each word is merged once
+    current, rows = None, []
+    for block, bucket, packed in B.streamed(batches, "block", "bucket", "data"):
+        if bucket != current:
+            current, known = bucket, {}
+        got = []
+        for w in B.unpack_words(packed):
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = [ranks[w]] if w in ranks else core._encode_single_piece(w)
+            got.append(ids)
+        flat = np.fromiter((i for ids in got for i in ids), np.uint32)
+        rows.append((1, block, bucket, None, None, len(got), B.pack(flat), B.pack(np.fromiter(map(len, got), np.uint32, len(got)))))
+        if len(rows) >= 2000:
+            yield B.batch(rows)
+            rows = []
+    yield B.batch(rows)
 
 
 def _id_table(words: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -214,7 +214,26 @@ def test_mixing(spark, awkward):
     key = ["source", "doc_id", "size", "taken"]
     assert sorted(map(str, got[key].to_numpy().tolist())) == sorted(map(str, again[key].to_numpy().tolist()))
     assert mixing.mix(table(spark, [])).count() == 0
-    assert mixing.mixed(table(spark, awkward)).columns == table(spark, []).columns
+    assert mixing.mixed(table(spark, awkward)).columns == table(spark, []).columns and mixing.mixed(table(spark, [])).count() == 0
+
+
+def test_mixed_rows_are_those_of_the_mix(spark, awkward):
+    """Rows that share an id, or have none, are taken as often as the mix says, one by one."""
+    rng = random.Random(13)
+    rows = awkward + [(None, words(rng, 1 + i % 40), "x") for i in range(600)] + [(77, words(rng, 5 + i % 30), "y") for i in range(600)]
+    rows += [(78, "the very same row", "y")] * 40 + [(None, None, None)] * 5
+    d = spark.createDataFrame([(i, t, s, "v", "w") for i, t, s in rows], "doc_id long, text string, source string, __times string, t string")
+    drawn, got = mixing.mix(d).toPandas(), mixing.mixed(d)
+    assert got.columns == d.columns
+    size = collections.Counter()
+    for r in got.collect():
+        assert (r["__times"], r["t"]) == ("v", "w")
+        size[r["source"]] += len((r["text"] or "").split())
+    for s in set(r[2] for r in rows):
+        own = drawn[drawn.source.isna()] if s is None else drawn[drawn.source == s]
+        assert own.taken.sum() == size[s]
+    texts = collections.Counter(r["text"] for r in got.collect())
+    assert max(n for t, n in texts.items() if t and t.startswith("w") and len(t.split()) > 4) <= 2 * max(collections.Counter(r[1] for r in rows if r[1] and r[1].startswith("w") and len(r[1].split()) > 4).values())
 
 
 def test_flight_keeps_both_totals():
@@ -243,6 +262,9 @@ def test_quality_learns_and_handles_awkward_rows(spark, awkward):
     assert kept.columns == table(spark, []).columns and 390 > kept.count() > 150
     none = quality.classify(table(spark, rows[:5]), labels.limit(0)).toPandas()
     assert (none.score - 0.5).abs().max() < 0.2
+    assert quality.classify(table(spark, []), labels).count() == 0 and quality.keep_good(table(spark, []), labels).count() == 0
+    again = quality.classify(table(spark, [r for r in rows for _ in range(3)]), labels).toPandas()  # repeated rows change nothing
+    assert len(again) == 3 * len(got) and np.allclose(sorted(again.score[::1]), sorted(np.repeat(got.score, 3)))
 
 
 def test_sum_of_squares_identity():
@@ -274,17 +296,93 @@ def test_maxent_counts_and_gain(spark, awkward):
     assert maxent.score(table(spark, [])).count() == 0
 
 
+def brute_maxent(rows, part):
+    """The model token by token, as the module's docstring says; ``part`` gives a training text's round."""
+    toks = [[*(t or "").encode().lower().split(), b"\n"] for _, t, _ in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in rows]
+    c = collections.Counter(w for t, h in zip(toks, held) if not h for w in t)
+    n, v = sum(c.values()), len(c)
+    lay = maxent.Layout(v, n)
+    k_of, k, m = lay.class_of, lay.classes, lay.slots
+    own, taken = {}, collections.Counter()
+    for w in sorted((w for w in c if c[w] >= max(2, n / (8 * lay.cells))), key=lambda w: (-c[w], w)):
+        if taken[k_of(w)] < lay.own:
+            own[w] = k_of(w) * m + taken[k_of(w)]
+            taken[k_of(w)] += 1
+    cell = lambda w: own.get(w, lay.shared_cell(w))
+    mass, kinds = collections.Counter(), collections.Counter()
+    for w in c:
+        mass[cell(w)] += c[w]
+        kinds[cell(w)] += 1
+    share = np.array([[mass[i * m + j] + (j >= lay.own) for j in range(m)] for i in range(k)], float)
+    pk, ps = share.sum(1) / share.sum(), share / share.sum(1, keepdims=True)
+    bias_k, bias_s = np.log(pk), np.log(np.maximum(ps, 1e-300))
+    W, S = collections.defaultdict(lambda: np.zeros(k)), collections.defaultdict(lambda: np.zeros(m))
+
+    def feats(seq, t):
+        a, b, d = (seq[t - j] if t >= j else lay.cells for j in (1, 2, 3))
+        y = seq[t] // m
+        pair = ((a * 1_000_003 + b) * 2_654_435_761 >> 7) % lay.pairs
+        return [("a", a), ("b", b), ("c", d), ("p", pair)], [("o", ((a * 40_503 + y * 7_919_317) * 2_654_435_761 >> 7) % (2 * lay.pairs)), ("n", a // m, y), ("f", b // m, y)]
+
+    def soft(bias, weights, keys):
+        z = bias + sum(weights[x] for x in keys)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    seqs = [[cell(w) for w in t] for t in toks]
+    for r in range(-1, maxent.ROUNDS):
+        seen, want = (collections.defaultdict(float) for _ in range(2))
+        for i, seq in enumerate(seqs):
+            if held[i] or r >= 0 and part[rows[i][0]] != r:
+                continue
+            for t, y in enumerate(seq):
+                f, g = feats(seq, t)
+                for turn, keys, p, at in ((0, f, soft(bias_k, W, f), y // m), (1, g, soft(bias_s[y // m], S, g), y % m)):
+                    if r >= 0 and r % 2 != turn:
+                        continue
+                    for x in keys:
+                        seen[x] = seen[x] + np.eye(len(p))[at]
+                        want[x] = want[x] + p
+        for x in seen:
+            prior = pk if x[0] in "abcp" else np.full(m, 1 / m) if x[0] == "o" else ps[x[2]]
+            w, many = (W, 4) if x[0] in "abcp" else (S, 3)
+            w[x] = w[x] + np.log((seen[x] + maxent.PRIOR * prior + 1e-9) / (want[x] + maxent.PRIOR * prior + 1e-9)) / many
+    out = []
+    for i, seq in enumerate(seqs):
+        total = 0.0
+        for t, y in enumerate(seq):
+            f, g = feats(seq, t)
+            total += math.log10(soft(bias_k, W, f)[y // m]) + math.log10(soft(bias_s[y // m], S, g)[y % m])
+            if y % m >= lay.own:
+                total += math.log10((c[toks[i][t]] + 1) / (mass[y] + kinds[y] + 1))
+        out.append((rows[i][0], len(seq), total))
+    return out
+
+
+def test_maxent_equals_brute_force_however_it_is_partitioned(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"{a}{rng.choice('rst')} {a}{rng.randrange(9)}n" for a in (rng.choice("abc") for _ in range(rng.randrange(0, 25)))), "s") for i in range(120)]
+    rows += [(None, "as a3n", "s"), (500, None, "s"), (501, "never seen words at all", "s"), (3, rows[3][1], "s"), (3, "other text cr", "s")]
+    part = {r[0]: r[1] for r in table(spark, rows).select("doc_id", F.expr(f"pmod(xxhash64(coalesce(doc_id, 0L)), {maxent.ROUNDS}L)")).collect()}
+    want = sorted(brute_maxent(rows, part), key=str)
+    for d in (table(spark, rows).coalesce(1), table(spark, rows).repartition(7)):
+        got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in maxent.score(d).collect()), key=str)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4, atol=1e-3)
+
+
 def test_maxent_probabilities_sum_to_one():
-    counts = np.array([50, 30, 20, 9, 3])
-    m = maxent.Model(counts, tail=40)
+    lay = maxent.Layout(50, 500)
+    tokens = np.random.default_rng(1).integers(0, 20, lay.cells).astype(float)
+    m = maxent.Model(lay, tokens)
     rng = np.random.default_rng(0)
     m.classes[:] = rng.normal(0, 0.5, m.classes.shape)
-    m.words[:] = rng.normal(0, 0.5, m.words.shape)
-    for context in ([], [1], [0, maxent.HEAD, 2]):
-        total = 0.0
-        for w in [*range(len(counts)), maxent.HEAD]:
-            total += 10 ** (m.log10(np.array([*context, w])) - (m.log10(np.array(context)) if context else 0.0))
-        assert total == pytest.approx(1.0, abs=1e-4)
+    m.slots[:] = rng.normal(0, 0.5, m.slots.shape)
+    for context in ([], [1], [0, 77, 2]):
+        y, f, g = m.features([np.array([*context, w]) for w in range(lay.cells)])
+        last = np.arange(1, lay.cells + 1) * (len(context) + 1) - 1
+        assert np.exp(m.log_e(y, f, g)[last]).sum() == pytest.approx(1.0, abs=1e-4)
 
 
 # --- 8
@@ -472,3 +570,45 @@ def test_tool_calls(spark):
     assert [json.loads(r["json"])["id"] for r in got if r["kind"] == "call"][:3] == ["a", "e", "b"]
     assert all(r["json"] == chat.canonical(json.loads(r["json"])) for r in got) and len(got) == 12
     assert chat.link(d.limit(0)).count() == 0
+
+
+def test_tool_calls_of_any_shape(spark):
+    deep = '{"tool_calls":[{"id":"p","name":"f","arguments":' + '{"a":' * 700 + "1" + "}" * 700 + "}]}"
+    odd = json.dumps({"content": "x\ud800y", "tool_calls": [{"id": "5", "name": "f", "arguments": {"cost": "$9", "of": "$5x", "s": "\udfff"}}, {"id": "q", "name": "f", "arguments": {"a": "$5"}}, {"id": "r", "name": "f", "arguments": {"a": {"$ref": "9"}}}, {"id": {"k": 1}, "name": None, "arguments": '{"a":NaN}'}]})
+    chain = json.dumps({"tool_calls": [{"id": f"n{i}", "name": "f", "arguments": {"x": f"$n{i + 1}", "y": [{"$ref": "n200"}] if i % 50 == 7 and i < 200 else []}} for i in range(300)] + [{"id": "n300", "name": "f", "arguments": {}}]})
+    ring = json.dumps({"tool_calls": [{"id": f"c{i}", "name": "f", "arguments": [f"$c{(i + 1) % 40}"]} for i in range(40)] + [{"id": "tail", "name": "f", "arguments": "\"$c3\""}]})
+    long = json.dumps({"tool_call_id": "p", "content": "word " * 60_000})
+    rows = [(1, 0, "a", deep), (1, 1, "a", odd), (1, 2, "a", '{"a": Infinity}'), (1, 3, "t", long), (2, 0, "a", chain), (3, 0, "a", ring), (4, 0, "a", "[" * 100_000), (4, 1, "a", "{" * 100_000), (5, 0, None, None), (5, 0, None, None)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, w string")
+    got = chat.link(d).collect()
+    level = {(r["conv_id"], r["call_id"]): r["level"] for r in got if r["kind"] == "call"}
+    assert level[1, "p"] == level[1, "5"] == 0 and level[1, "q"] == 1 and level[1, "r"] is None
+    assert [level[2, f"n{i}"] for i in range(301)] == [300 - i for i in range(301)]
+    assert all(level[3, f"c{i}"] is None for i in range(40)) and level[3, "tail"] is None
+    assert {r["content"] for r in got if r["conv_id"] == 1 and r["turn"] in (1, 2) and r["kind"] == "message"} == {"x\ufffdy", '{"a": Infinity}'}
+    assert [r["errors"] for r in got if r["call_id"] == '{"k":1}'] == [["$: not JSON"]] and sum(r["conv_id"] == 5 for r in got) == 2
+    for r in got:
+        r["json"].encode()
+        assert r["conv_id"] == 1 and r["call_id"] == "p" or chat.canonical(json.loads(r["json"])) == r["json"]
+    assert next(r["arguments"] for r in got if r["call_id"] == "p" and r["kind"] == "call").count("}") == 700
+
+
+def test_derived_calls_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for conv in range(30):
+        for turn in range(rng.randrange(1, 7)):
+            role = "system" if turn == 0 and conv % 3 == 0 else "user" if turn % 2 == conv % 2 else "assistant"
+            rows.append((conv, turn, role, "\n".join(words(rng, rng.randrange(0, 60)) for _ in range(rng.randrange(0, 6)))))
+    rows += [(99, None, "user", "no turn"), (98, 3, None, None), (None, 1, "user", "a\nb"), (7, 0, "tool", "orphan")]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, name int")
+    got = chat.link(chat.derived(d), chat.LINE_SCHEMAS).collect()
+    lines = lambda t: [x for x in (t or "").split("\n") if x.strip()]
+    asked = collections.Counter((c, f"{t}.{k}") for c, t, r, x in rows if r == "user" and c is not None for k in range(len(lines(x))))
+    told = collections.Counter((c, f"{None if t is None else t - 1}.{k}") for c, t, r, x in rows if r not in ("user", "system") for k in range(len(lines(x))))
+    status = lambda key: "orphan" if not asked[key] else "duplicate" if asked[key] > 1 or told[key] > 1 else "linked" if told[key] else "unanswered"
+    calls = sorted(str((r["conv_id"], r["turn"], r["pos"], r["level"], r["status"], len(r["errors"]) > 0)) for r in got if r["kind"] == "call" and r["conv_id"] is not None)
+    assert calls == sorted(str((c, t, k, k, status((c, f"{t}.{k}")), len(y.split()) > 40)) for c, t, r, x in rows if r == "user" and c is not None for k, y in enumerate(lines(x)))
+    results = sorted(str((r["conv_id"], r["turn"], r["pos"], r["content"], r["status"])) for r in got if r["kind"] == "result")
+    assert results == sorted(str((c, t, k, y, status((c, f"{None if t is None else t - 1}.{k}")))) for c, t, r, x in rows if r not in ("user", "system") for k, y in enumerate(lines(x)))
+    assert {"linked", "orphan", "unanswered"} <= {r["status"] for r in got}
