@@ -51,6 +51,8 @@ SALT_ROWS = 256
 LIST_ROWS = 1024
 #: Heads of up to this many sets are joined with themselves.
 SHORT_LIST = 12
+#: Sets of one head are dealt by size in bands as wide as this power of 2.
+BAND = 1.0
 #: Likeliest partners of a set in one component that are named at once; what else there is takes a second search.
 PARTNERS = 8
 #: What holds more than this share of its table is hot and met by broadcast, so at most so many are.
@@ -294,7 +296,7 @@ def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, partners: int | N
     length, or one twice the other's. A set gets at most ``partners`` in a
     component, the likeliest, and ``more`` says whether it had others.
     """
-    for _, run in sorted_runs(batches, "head", "j", "s"):
+    for _, run in sorted_runs(batches, "head", "band", "j", "s"):
         role, ids, n, comp, main = (run[c].to_numpy() for c in ("role", "id", "n", "comp", "main"))
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for chunk in run["map"].chunks for x in chunk]
         width = np.array([len(x) for x in raw])
@@ -358,15 +360,15 @@ def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, on
     """Candidate pairs (a, b) in different components, with b's component and a bound.
 
     The sets of a head with few are joined with themselves; of one with many,
-    those outside the head's component meet all others in runs of LIST_ROWS by
-    LIST_ROWS. So what is copied is what still has to be compared. With
-    ``only`` (ids) just pairs of those with all their partners are sought.
+    those outside the head's component meet all others of a size that may link,
+    by bands of sizes, in runs of LIST_ROWS by LIST_ROWS. So what is copied is
+    what still has to be compared. With ``only`` (ids) just pairs of those with
+    all their partners are sought.
     """
     placed = shared.join(comp, "id", "left").select("head", "id", F.coalesce("comp", "id").alias("comp"))
     parts = placed.groupBy("head", "comp").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
-    mixed = parts.groupBy("head").agg(F.count("*").alias("comps"), F.sum("n").alias("many"), F.min_by("comp", "lo").alias("main"), F.min_by("n", "lo").alias("inside")).where("comps > 1")
-    mixed = mixed.select("head", "main", "many", F.ceil(F.col("many") / LIST_ROWS).alias("js"), F.ceil((F.col("many") - F.col("inside")) / LIST_ROWS).alias("ss"))
-    mixed = stage_table(mixed)
+    mixed = parts.groupBy("head").agg(F.count("*").alias("comps"), F.sum("n").alias("many"), F.min_by("comp", "lo").alias("main")).where("comps > 1")
+    mixed = stage_table(mixed.select("head", "main", "many"))
     if mixed.count() <= BROADCAST_ROWS:
         mixed = F.broadcast(mixed)
     rows = stage_table(placed.join(mixed, "head").join(reps.select("id", "n"), "id"))
@@ -376,19 +378,29 @@ def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, on
     near = near.join(m.select(F.col("id").alias("a"), F.col("map").alias("ma")), "a").join(m.select(F.col("id").alias("b"), F.col("map").alias("mb")), "b")
     near = near.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, cb long, share double").withColumn("more", F.lit(False))
 
-    many = rows.where(f"many > {SHORT_LIST}").join(m, "id").withColumn("h", F.xxhash64("id"))
-
-    def side(df, role, j, s):
-        return df.select("head", j.alias("j"), s, F.lit(role).alias("role"), "id", "comp", "main", "n", "map")
+    def band(n):
+        return F.floor(F.log2(n) / BAND)
 
     def each(n):
-        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
+    many = rows.where(f"many > {SHORT_LIST}").withColumn("h", F.xxhash64("id"))
+    sought = many.withColumn("band", band(F.col("n")))
     seeking = many.where("comp <> main") if only is None else many.where("comp <> main").join(only, "id", "left_semi")
+    # a hair wider than the sizes that may link, so that rounding leaves none out
+    seeking = seeking.withColumn("band", F.explode(F.sequence(band(F.col("n") * (percent / 100 - 1e-9)), band(F.col("n") * (100 / percent + 1e-9)))))
+    loads = [df.groupBy("head", "band").agg(F.ceil(F.count("*") / LIST_ROWS).alias(blocks)) for df, blocks in ((sought, "js"), (seeking, "ss"))]
+    loads = stage_table(loads[0].join(loads[1], ["head", "band"]))
+    if loads.count() <= BROADCAST_ROWS:
+        loads = F.broadcast(loads)
+
+    def side(df, role, j, s):
+        return df.select("head", "band", j, s, F.lit(role).alias("role"), "id", "comp", "main", "n")
+
     partners = PARTNERS if only is None else None
-    seekers = side(seeking.withColumn("j", F.explode(each("js"))), 0, F.col("j"), F.pmod(F.shiftright("h", 20), F.col("ss")).alias("s"))
-    sought = side(many.withColumn("s", F.explode(each("ss"))), 1, F.pmod("h", F.col("js")), F.col("s"))
-    runs = seekers.union(sought).repartition("head", "j", "s").sortWithinPartitions("head", "j", "s", "role")
+    seeking = side(seeking.join(loads, ["head", "band"]).withColumn("j", each("js")), 0, F.col("j"), F.pmod(F.shiftright("h", 20), F.col("ss")).alias("s"))
+    sought = side(sought.join(loads, ["head", "band"]).withColumn("s", each("ss")), 1, F.pmod("h", F.col("js")).alias("j"), F.col("s"))
+    runs = seeking.union(sought).join(m, "id").repartition("head", "band", "j", "s").sortWithinPartitions("head", "band", "j", "s", "role")
     found = runs.mapInArrow(lambda it: _unmerged(it, percent, partners), _PAIR)
     if only is None:
         found = near.union(found)
