@@ -1,17 +1,25 @@
-"""Lossless WebP (VP8L): a full decoder, an encoder, and a media column of texts.
+"""Lossless WebP (VP8L): a full decoder, an encoder, and media columns.
 
 The decoder handles simple and normal prefix codes, meta prefix codes, LZ77
 back-references with the two-dimensional distance map, the colour cache, and
-all four transforms (predictor, cross-colour, subtract-green, colour indexing).
-A stream whose codes are all of one length each and that has no copies is
-decoded as a whole in numpy; any other pixel by pixel.
-
-``store`` writes a payload as images of 16 pixels a row (4 bytes a pixel; one
-image per megabyte, one after the other); ``load`` reads the bytes back.
+all four transforms (predictor, cross-colour, subtract-green, colour indexing),
+in plain and extended files. ``decode_many`` advances the main images of many
+files together (see ``webp_batch``); images with groups of codes go pixel by
+pixel, and codes of one length without copies as a whole.
+
+``store`` writes a payload as images of 64 samples a row and up to 64 rows, one
+after the other, each with a palette, a colour cache, back-references and its
+own prefix codes; ``load`` reads the bytes back. A sample is a pixel's green
+channel. Predictors and cross-colour suit pictures, not text, so ``store``
+leaves them out; ``encode`` writes any mixture of the format's tools.
+``pixel_arrays`` decodes a column of image bytes to pixels.
 
 Defined results: a null or empty text is one block of 64 zero bytes; a text of
-any length is stored whole; equal texts give equal values; extra columns are
-ignored; an empty table gives an empty table.
+any length is stored whole; equal texts give equal values; rows sharing an id
+or repeated stay separate rows, and a null id stays null; null image bytes give
+null images, and bytes that are no lossless WebP an error in their row; extra
+columns are ignored, and kept by ``pixel_arrays``; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -26,6 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm import webp_batch as W
+from graphquarry.llm.common import unused
+
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 DISTANCE_MAP = (
@@ -40,8 +51,8 @@ DISTANCE_MAP = (
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_HASH = 0x1E35A7BD
-ROW = 16
-MAX_ROWS = 16_384
+#: Bytes of payloads coded together, about.
+PART_BYTES = 4_000_000
 
 
 class CorruptImage(ValueError):
@@ -52,8 +63,19 @@ class CorruptImage(ValueError):
 
 
 class _Bits:
-    def __init__(self, data: bytes):
+    """A stream, and the prefix codes that have been met so far by their lengths."""
+
+    def __init__(self, data: bytes, codes: dict | None = None):
         self.data, self.at, self.end = data, 0, 8 * len(data)
+        self.codes = {} if codes is None else codes
+
+    def code(self, lengths: bytes) -> "_Code":
+        got = self.codes.get(lengths)
+        if got is None:
+            if len(self.codes) > 2000:
+                self.codes.clear()
+            got = self.codes[lengths] = _Code(np.frombuffer(lengths, np.uint8).astype(np.int64))
+        return got
 
     def read(self, n: int) -> int:
         at = self.at
@@ -85,16 +107,8 @@ class _Code:
     def table(self) -> list:
         """By the next bits, as many as the longest code has: (symbol << 4) | length."""
         if self._table is None:
-            self.longest = int(self.lengths.max())
-            out = np.zeros(1 << self.longest, np.int64)
-            code = 0
-            for n in range(1, self.longest + 1):
-                code <<= 1
-                for s in np.flatnonzero(self.lengths == n):
-                    turned = int(f"{code:0{n}b}"[::-1], 2)
-                    out[turned :: 1 << n] = (int(s) << 4) | n
-                    code += 1
-            self._table = out.tolist()
+            self.longest = 0 if self.single is not None else int(self.lengths.max())
+            self._table = [self.single << 4] if self.single is not None else W.table_of(self.lengths, self.longest).tolist()
         return self._table
 
     def read(self, bits: _Bits) -> int:
@@ -109,34 +123,44 @@ class _Code:
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         many, wide = bits.read(1) + 1, bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if many == 2 else [])
         if max(symbols) >= alphabet:
             raise CorruptImage("a symbol is out of range")
-        lengths[symbols] = 1
-        return _Code(lengths)
-    first = np.zeros(19, np.int64)
+        simple = bytearray(alphabet)
+        for s in symbols:
+            simple[s] = 1
+        return bits.code(bytes(simple))
+    first = bytearray(19)
     for i in range(4 + bits.read(4)):
         first[LENGTH_ORDER[i]] = bits.read(3)
-    code = _Code(first)
+    code = bits.code(bytes(first))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, previous = 0, 8
-    while at < alphabet and left > 0:
+    table, mask = code.table(), (1 << code.longest) - 1
+    # the stream's next part as one number; a length takes 14 bits at most
+    start = bits.at
+    ahead = int.from_bytes(bits.data[start >> 3 : (start + 14 * alphabet + 7 >> 3) + 1], "little") >> (start & 7)
+    spent, previous = 0, 8
+    lengths = bytearray()
+    while len(lengths) < alphabet and left > 0:
         left -= 1
-        s = code.read(bits)
+        got = table[ahead >> spent & mask]
+        spent += got & 15
+        s = got >> 4
         if s < 16:
-            lengths[at] = s
-            previous, at = s or previous, at + 1
-            continue
-        n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-        if at + n > alphabet:
-            raise CorruptImage("code lengths run over")
-        if s == 16:
-            lengths[at : at + n] = previous
-        at += n
-    return _Code(lengths)
+            lengths.append(s)
+            previous = s or previous
+        else:
+            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            lengths += bytes([previous if s == 16 else 0]) * (least + (ahead >> spent & ((1 << extra) - 1)))
+            spent += extra
+    bits.at += spent
+    if bits.at > bits.end:
+        raise CorruptImage("the stream ends early")
+    if len(lengths) > alphabet:
+        raise CorruptImage("code lengths run over")
+    return bits.code(bytes(lengths.ljust(alphabet, b"\0")))
 
 
 def _prefixed(bits: _Bits, symbol: int) -> int:
@@ -147,7 +171,8 @@ def _prefixed(bits: _Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
+def _read_image(bits: _Bits, width: int, height: int, main: bool, later: bool = False) -> np.ndarray | W.Job:
+    """Pixels; with ``later`` a job for ``webp_batch`` where it can do it."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise CorruptImage("the colour cache is too large")
@@ -163,6 +188,10 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     g, r, b, a, _ = codes[0]
     if groups == 1 and not size and all(c.fixed is not None for c in (g, r, b, a)) and g.symbols[-1] < 256:
         return _read_fixed(bits, (g, r, b, a), total).reshape(height, width)
+    if later and groups == 1:
+        long = [0 if c.single is not None else int(c.lengths.max()) for c in codes[0]]
+        if sum(long[:4]) <= 57 and long[0] + long[4] <= 29:  # what a pixel takes fits the window
+            return W.Job(bits.data, bits.at, [c.lengths if c.single is None else c.single for c in codes[0]], cache_bits, width, height)
 
     out: list[int] = [0] * total
     cache = [0] * size
@@ -305,11 +334,22 @@ def _unpalette(pixels: np.ndarray, palette: np.ndarray, width: int) -> np.ndarra
     return full[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width) as 0xAARRGGBB of one RIFF file with a VP8L chunk."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise CorruptImage("no lossless WebP file")
-    bits = _Bits(data[20 : 20 + int.from_bytes(data[16:20], "little")])
+def _chunk(data: bytes) -> bytes:
+    """The body of a RIFF file's VP8L chunk."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise CorruptImage("no WebP file")
+    at, end = 12, min(len(data), 8 + int.from_bytes(data[4:8], "little"))
+    while at + 8 <= end:
+        n = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"VP8L":
+            return data[at + 8 : at + 8 + n]
+        at += 8 + n + (n & 1)
+    raise CorruptImage("no lossless image")
+
+
+def _opened(data: bytes, later: bool, codes: dict | None = None) -> tuple[np.ndarray | W.Job, list]:
+    """The main image, or the job that gives it, and the transforms to undo."""
+    bits = _Bits(_chunk(data), codes)
     if bits.read(8) != 0x2F:
         raise CorruptImage("no VP8L signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -331,7 +371,10 @@ def decode(data: bytes) -> np.ndarray:
             coded = (coded + (1 << _packing(size)) - 1) >> _packing(size)
         else:
             undo.append((kind, None, None))
-    x = _read_image(bits, coded, height, True)
+    return _read_image(bits, coded, height, True, later), undo
+
+
+def _undone(x: np.ndarray, undo: list) -> np.ndarray:
     for kind, what, n in reversed(undo):
         if kind == PREDICTOR:
             x = _unpredict(x, (what >> 8) & 15, n)
@@ -347,6 +390,23 @@ def decode(data: bytes) -> np.ndarray:
     return x
 
 
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width) as 0xAARRGGBB of one lossless file, pixel by pixel."""
+    return _undone(*_opened(data, False))
+
+
+_DX, _DY = (np.array(c, np.int64) for c in zip(*DISTANCE_MAP))
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """Pixels of many lossless files."""
+    codes: dict = {}
+    opened = [_opened(data, True, codes) for data in files]
+    jobs = [x for x, _ in opened if isinstance(x, W.Job)]
+    done = iter(W.decode_images(jobs, _DX, _DY, CACHE_HASH, CorruptImage) if jobs else [])
+    return [_undone(next(done) if isinstance(x, W.Job) else x, undo) for x, undo in opened]
+
+
 # --- writing -----------------------------------------------------------------
 
 
@@ -582,96 +642,178 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
     return _riff(out.value, out.n)
 
 
-def _alphabet_header(alphabet: bytes, known: dict) -> tuple[int, int, np.ndarray]:
-    """Codes' header, its bits, and the rank of each byte, for one alphabet of 2^k bytes."""
-    got = known.get(alphabet)
-    if got is None:
-        if len(known) > 20_000:
-            known.clear()
-        used = np.frombuffer(alphabet, np.uint8)
-        size = 1 << max(0, (len(used) - 1).bit_length())
-        spare = np.setdiff1d(np.arange(256), used)[: size - len(used)]
-        symbols = np.sort(np.concatenate([used.astype(np.int64), spare]))
-        out = _Out()
-        lengths = np.zeros(280, np.int64)
-        lengths[symbols] = max(1, size.bit_length() - 1)
-        for n in (280, 256, 256, 256):
-            _write_lengths(out, lengths[:n])
-        _write_lengths(out, np.zeros(40, np.int64))
-        rank = np.zeros(256, np.uint8)
-        rank[symbols] = np.arange(size)
-        got = known[alphabet] = (out.value, out.n, rank)
-    return got
-
-
-def store_image(payload: bytes, known: dict) -> bytes:
-    """A payload of at most 16 * 16,384 pixels as one image of equal-length codes."""
-    height = len(payload) // (4 * ROW)
-    raw = np.frombuffer(payload, np.uint8)
-    # whole groups of sixteen bytes, so that texts share their codes' headers
-    groups = np.flatnonzero(np.bincount(raw >> 4, minlength=16))
-    used = (groups[:, None] * 16 + np.arange(16)).reshape(-1).astype(np.uint8)
-    value, n, rank = _alphabet_header(used.tobytes(), known)
-    out = _head(ROW, height)
-    out.put(0, 3)  # no transform, no cache, no meta codes
-    out.put(value, n)
-    k = max(0, (len(used) - 1).bit_length())
-    head = np.unpackbits(np.frombuffer(out.value.to_bytes((out.n + 7) // 8, "little"), np.uint8), bitorder="little")[: out.n]
-    # a pixel's bytes lie as blue, green, red, alpha; its codes follow as green, red, blue, alpha
-    order = rank[raw].reshape(-1, 4)[:, [1, 2, 0, 3]].reshape(-1)
-    body = np.unpackbits(order[:, None], axis=1)[:, 8 - k :].reshape(-1)
-    return _wrap(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
-
-
-def store(payload: bytes, known: dict | None = None) -> bytes:
-    """A payload (a positive multiple of 64 bytes) as one image per megabyte."""
-    known = {} if known is None else known
-    step = 4 * ROW * MAX_ROWS
-    return b"".join(store_image(payload[lo : lo + step], known) for lo in range(0, len(payload), step))
-
-
-def images(media: bytes) -> Iterator[np.ndarray]:
-    at = 0
+def _palette_head() -> tuple[int, int]:
+    """Head of a palette's image: no cache, green bytes of eight bits, nothing else."""
+    out = _Out()
+    out.put(0, 1)
+    green = np.zeros(280, np.int64)
+    green[:256] = 8
+    _write_lengths(out, green)
+    for _ in range(4):
+        out.put(1, 4)
+    return out.value, out.n
+
+
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """Each payload (a positive multiple of 64 bytes) as images one after the other."""
+    tile = W.TILE_ROWS * W.WIDTH
+    near = {max(1, dx + dy * W.WIDTH): i + 1 for i, (dx, dy) in reversed(list(enumerate(DISTANCE_MAP)))}
+    head = _palette_head()
+    out: list[bytes] = []
+    some: list[bytes] = []
+
+    def flush():
+        sizes = [min(tile, len(p) - lo) for p in some for lo in range(0, len(p), tile)]
+        buffer, begin = W.encode_tiles(np.frombuffer(b"".join(some), np.uint8), np.array(sizes), LENGTH_ORDER, near, CACHE_HASH, head)
+        first = np.cumsum([0, *(-(-len(p) // tile) for p in some)])
+        data = buffer.tobytes()
+        out.extend(data[begin[lo] : begin[hi]] for lo, hi in zip(first, first[1:]))
+        some.clear()
+
+    held = 0
+    for p in payloads:
+        if len(p) > PART_BYTES:  # a very long one by itself, in parts, as it doesn't depend on others
+            if some:
+                flush()
+            whole = []
+            step = PART_BYTES // tile * tile
+            for lo in range(0, len(p), step):
+                some.append(p[lo : lo + step])
+                flush()
+                whole.append(out.pop())
+            out.append(b"".join(whole))
+            held = 0
+            continue
+        some.append(p)
+        held += len(p)
+        if held >= PART_BYTES:
+            flush()
+            held = 0
+    if some:
+        flush()
+    return out
+
+
+def store(payload: bytes) -> bytes:
+    return store_many([payload])[0]
+
+
+def files_of(media: bytes) -> list[bytes]:
+    """The files that stand one after the other."""
+    out, at = [], 0
     while at < len(media):
         n = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        yield decode(media[at : at + n])
+        out.append(media[at : at + n])
         at += n
+    return out
+
+
+def load_many(medias: list[bytes]) -> list[tuple[bytes, str]]:
+    """Each payload, and features of its samples."""
+    split = [files_of(m) for m in medias]
+    out: list[tuple[bytes, str]] = []
+    files: list[bytes] = []
+    owners: list[int] = []
+    parts: list[list[bytes]] = [[] for _ in medias]
+    held = 0
+
+    def flush():
+        for i, x in zip(owners, decode_many(files)):
+            parts[i].append((x >> np.uint32(8)).astype(np.uint8).tobytes())
+        files.clear()
+        owners.clear()
+
+    for i, own in enumerate(split):
+        for data in own:
+            files.append(data)
+            owners.append(i)
+            held += len(data)
+            if held >= PART_BYTES // 2:
+                flush()
+                held = 0
+    flush()
+    for p in parts:
+        whole = b"".join(p)
+        out.append((whole, features_of(whole)))
+    return out
 
 
 def load(media: bytes) -> tuple[bytes, str]:
-    """The payload, and features of the pixel arrays."""
-    parts, total = [], 0
-    counts = np.zeros(256, np.int64)
-    rows: list[np.ndarray] = []
-    for x in images(media):
-        raw = np.ascontiguousarray(x, "<u4").view(np.uint8)
-        parts.append(raw.tobytes())
-        counts += np.bincount(raw.reshape(-1), minlength=256)
-        rows.append(raw.reshape(len(x), -1).sum(1))
-        total += len(x)
-    n = int(counts.sum())
+    return load_many([media])[0]
+
+
+def features_of(payload: bytes) -> str:
+    """Size, mean, spread and entropy of the samples, and which of 16 bands of rows are lighter."""
+    raw = np.frombuffer(payload, np.uint8)
+    counts = np.bincount(raw, minlength=256)
+    n = len(raw)
     values = np.arange(256)
     mean = float(counts @ values) / n
     spread = float(np.sqrt(max(0.0, counts @ (values - mean) ** 2 / n)))
     p = counts[counts > 0] / n
     entropy = float(-(p * np.log2(p)).sum()) + 0.0
-    light = np.concatenate(rows)
-    bands = np.add.reduceat(light, np.arange(16) * total // 16) if total >= 16 else np.resize(light, 16)
+    light = raw.reshape(-1, W.WIDTH).sum(1)
+    bands = np.add.reduceat(light, np.arange(16) * len(light) // 16) if len(light) >= 16 else np.resize(light, 16)
     code = int.from_bytes(np.packbits(bands > np.median(bands)).tobytes(), "big")
-    return b"".join(parts), f"{ROW}x{total};mean={mean:.4f};std={spread:.4f};entropy={entropy:.4f};bands={code:04x}"
+    return f"{W.WIDTH}x{len(light)};mean={mean:.4f};std={spread:.4f};entropy={entropy:.4f};bands={code:04x}"
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of batches whose values (texts or bytes) take about PART_BYTES."""
+    for b in batches:
+        sizes = np.cumsum([len(x) if x is not None else 0 for x in (v.as_buffer() if v.is_valid else None for v in b.column(column))])
+        lo = 0
+        while lo < b.num_rows:
+            before = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, before + PART_BYTES, side="right")))
+            part = b.slice(lo, hi - lo)
+            yield part, part.column(column).to_pylist()
+            lo = hi
 
 
 def media_column(docs: DataFrame) -> DataFrame:
     """doc_id and media: the lossless image bytes of every whole text."""
 
     def run(batches):
-        known: dict = {}
+        for part, texts in _parts(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(store_many([payload_of(t) for t in texts]), pa.binary())], names=["doc_id", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary")
+
+
+def pixel_arrays(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``images`` and ``error`` for a column of lossless WebP bytes.
+
+    A value holds one file, or several one after the other; each becomes
+    (width, height, pixels), the pixels as bytes blue, green, red, alpha, row
+    by row. Columns of those names get an underscore.
+    """
+    names = {c: c for c in df.columns}
+    for new in ("images", "error"):
+        for c in names:
+            if names[c].lower() == new:
+                names[c] = unused(f"{c}_", [*names.values(), "images", "error"])
+    kept = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    at = df.columns.index(column)
+    image = "array<struct<width:int,height:int,pixels:binary>>"
+    kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())]))
+
+    def read(media):
+        if media is None:
+            return None, None
+        try:
+            return [{"width": x.shape[1], "height": x.shape[0], "pixels": np.ascontiguousarray(x, "<u4").tobytes()} for x in decode_many(files_of(media))], None
+        except CorruptImage as e:
+            return None, str(e)
+
+    def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([store(payload_of(t), known) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])
+            for i in range(b.num_rows):  # an image may be far larger than its file
+                images, error = read(b.column(at)[i].as_py())
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([images], kind), pa.array([error], pa.string())], names=[*b.schema.names, "images", "error"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{fields}, images {image}, error string")
 
 
 def payload_of(text: str | None) -> bytes:
@@ -685,15 +827,13 @@ def digests(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        known: dict = {}
-        for b in batches:
+        for part, texts in _parts(batches, 1):
+            payloads = [payload_of(t) for t in texts]
+            medias = store_many(payloads)
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py() or ""
-                media = store(payload_of(text), known)
-                back, feature = load(media)
-                n = len(text.encode("utf-8", "surrogatepass"))
+            for doc_id, text, media, (back, feature) in zip(part.column(0).to_pylist(), texts, medias, load_many(medias)):
+                n = len((text or "").encode("utf-8", "surrogatepass"))
                 rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
