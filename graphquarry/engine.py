@@ -444,6 +444,30 @@ class Engine(Snapshot):
 
     # -- use
 
+    @classmethod
+    def create(cls, spark: SparkSession, path: str) -> "Engine":
+        """A new database in a folder that holds none."""
+        out = cls(spark, path)
+        if out.generation:
+            raise InvalidArgument(f"{path} holds a database")
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "Engine":
+        """The database in a folder."""
+        out = cls(spark, path)
+        if not out.generation:
+            raise NotFound(f"{path} holds no database")
+        return out
+
+    def checkpoint(self) -> int:
+        """The version that readers see; every commit is one."""
+        return self.generation
+
+    def close(self) -> None:
+        """Forget the tables; what was committed stays in the folder."""
+        self.catalog, self.log = Catalog(), []
+
     def snapshot(self) -> Snapshot:
         return Snapshot(self.spark, self.catalog)
 
@@ -462,9 +486,9 @@ class Engine(Snapshot):
         return self.execute(text) if P.is_statement(text) else self.query(text)
 
     def ask(self, question: str, reference_date=None) -> DataFrame:
-        from graphquarry.english import compile_question
+        from graphquarry.english import Ground, compile_question
 
-        return self.query(compile_question(question, self.catalog, reference_date))
+        return self.query(compile_question(question, self.catalog, reference_date, Ground(self.spark, self.catalog)))
 
     def pin(self, name: str, query: str) -> None:
         self.execute({"stmt": "PinPlan", "name": name, "text": query, "plan": {"v": 0, "plan": self.parse(query)}})

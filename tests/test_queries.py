@@ -34,8 +34,6 @@ def test_same_rows(spark, duck, name):
     assert canonical(got, cols) == canonical(found.fetchall(), theirs)
 
 
-@pytest.mark.parametrize("name, table", [("g1_expand_out", "orders"), ("g1_expand_both_distinct", "orders"), ("g1_expand_both_self", "customer"), ("e7_kleene", "orders"), ("e10_float_division", "orders")])
-def test_whole_tables(spark, duck, name, table):
-    whole = Q.queries()[f"{name}_all"](spark, DIR)
-    rows = duck.execute(f"select count(*) from {table}").fetchone()[0]
-    assert whole.count() >= max(rows, Q.queries()[name](spark, DIR).count())
+def test_whole_tables(spark, duck):
+    rows = {n: Q.queries()[n](spark, DIR).count() for n in ("g1_expand_out", "g1_expand_both_distinct", "e7_kleene", "e10_float_division")}
+    assert set(rows.values()) == {duck.execute("select count(*) from orders").fetchone()[0]}
