@@ -26,11 +26,28 @@ def tokenise(text: str) -> list[str]:
     return [t.encode()[:TOKEN_BYTES].decode("utf-8", "surrogateescape") for t in re.split(SEPARATORS, folded) if t]
 
 
-def tokens(text: Column) -> Column:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.filter(F.split(F.translate(text, upper, lower), SEPARATORS), lambda t: t != "")
-    # tokens are compared as bytes, so that the cut may fall inside a character
-    return F.transform(words, lambda t: F.substring(F.encode(t, "UTF-8"), 1, TOKEN_BYTES))
+#: One character of a token, as a class of the pattern language.
+_CHAR = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"{_CHAR}+"))
+
+
+def _whole(term: bytes) -> str:
+    """A pattern of a term as a whole token; one of TOKEN_BYTES stands for all that begin with it."""
+    body = term.decode("utf-8", "ignore")
+    rest = "" if len(term) < TOKEN_BYTES else f"{_CHAR}*"
+    cut = term[len(body.encode()) :]
+    if cut:  # the cut fell inside a character: any that starts with these bytes
+        first, last = (cut.ljust(n, fill) for n, fill in ((_length(cut[0]), b"\x80"), (_length(cut[0]), b"\xbf")))
+        low, high = (min(max(ord(x.decode("utf-8", "replace")[0]), 0x80), 0x10FFFF) for x in (first, last))
+        rest = rf"[\x{{{low:x}}}-\x{{{high:x}}}]{_CHAR}*"
+    return f"(?i)(?<!{_CHAR})\\Q{body}\\E{rest}(?!{_CHAR})" if body else f"(?<!{_CHAR}){rest}"
+
+
+def _length(lead: int) -> int:
+    return 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
 
 def multiply(a: int, b: int) -> int:
@@ -65,37 +82,53 @@ def term_score(weight: int, tf: int, length: int, n_docs: int, total: int) -> in
     return multiply(weight, saturation)
 
 
-def _count_of(toks: Column, term: bytes) -> Column:
-    return F.size(F.filter(toks, lambda x: x == F.unhex(F.lit(term.hex())))).cast("long")
+def _big(x) -> Column:
+    return (F.lit(x) if isinstance(x, int) else x).cast("decimal(38,0)")
+
+
+def _quotient(a: Column, b) -> Column:
+    """Whole part of a quotient of non-negative integers."""
+    return F.call_function("div", a, _big(b)).cast("decimal(38,0)")
+
+
+def _product(*factors) -> Column:
+    out = _big(factors[0])
+    for x in factors[1:]:
+        out = (out * _big(x)).cast("decimal(38,0)")
+    return out
+
+
+def _multiply(a, b) -> Column:
+    return _quotient((_product(a, b) + _big(ONE >> 1)).cast("decimal(38,0)"), ONE)
+
+
+def scored(weight: int, tf: Column, length: Column, n_docs: int, total: int) -> Column:
+    """``term_score`` as a column, in the same integers."""
+    ratio = _quotient(_product(length, n_docs, ONE), max(1, total))
+    norm = (_big(ONE - B) + _multiply(B, ratio)).cast("decimal(38,0)")
+    below = (_product(tf, ONE) + _multiply(K1, norm)).cast("decimal(38,0)")
+    return F.when(tf > 0, _multiply(weight, _quotient(_product(tf, ONE, K1 + ONE), below))).otherwise(_big(0))
 
 
 def search(df: DataFrame, text: str, query: str, score: str) -> DataFrame:
     """Rows of ``df`` that match the query, with their integer scores.
 
     Statistics cover all rows whose text is not null; they are a handful of
-    numbers, whatever the size of the table.
+    numbers, whatever the size of the table. Counting is by patterns, so texts
+    are never taken apart, and scores are exact decimals.
     """
     terms = list(dict.fromkeys(t.encode("utf-8", "surrogateescape") for t in tokenise(query)))
-    toks = tokens(F.col(f"`{text}`"))
     if not terms:
         return df.where(F.lit(False)).withColumn(score, F.lit(None).cast("decimal(38,0)"))
-    counted = df.where(F.col(f"`{text}`").isNotNull()).withColumn("__toks", toks)
-    counted = counted.withColumn("__len", F.size("__toks").cast("long"))
-    for i, t in enumerate(terms):
-        counted = counted.withColumn(f"__tf{i}", _count_of(F.col("__toks"), t))
-    counted = counted.drop("__toks")
-    stats = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("__len"), F.lit(0)).alias("total"), *(F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
-    n, total, weights = stats["n"], stats["total"], [idf(stats["n"], stats[f"df{i}"]) for i in range(len(terms))]
-
-    @F.arrow_udf("decimal(38,0)")
-    def scored(*cols):
-        from decimal import Decimal
-
-        import pyarrow as pa
-
-        rows = zip(*(c.to_pylist() for c in cols))
-        return pa.array([Decimal(sum(term_score(w, tf, r[0], n, total) for w, tf in zip(weights, r[1:]))) for r in rows], pa.decimal128(38, 0))
-
-    names = [f"__tf{i}" for i in range(len(terms))]
-    hit = counted.where(F.greatest(*(F.col(c) for c in names), F.lit(0)) > 0)
-    return hit.withColumn(score, scored(F.col("__len"), *(F.col(c) for c in names))).drop("__len", *names)
+    t = F.col(f"`{text}`")
+    counts = [F.regexp_count(t, F.lit(_whole(x))).cast("long") for x in terms]
+    stats = df.where(t.isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum(token_count(t)), F.lit(0)).alias("total"), *(F.count_if(t.rlike(_whole(x))).alias(f"df{i}") for i, x in enumerate(terms))).first()
+    any_term = F.lit(False)
+    for x in terms:
+        any_term = any_term | t.rlike(_whole(x))
+    hit = df.where(t.isNotNull() & any_term)
+    hit = hit.withColumns({"__len": token_count(t).cast("long"), **{f"__tf{i}": c for i, c in enumerate(counts)}})
+    points = _big(0)
+    for i in range(len(terms)):
+        points = (points + scored(idf(stats["n"], stats[f"df{i}"]), F.col(f"__tf{i}"), F.col("__len"), stats["n"], int(stats["total"]))).cast("decimal(38,0)")
+    return hit.withColumn(score, points).drop("__len", *(f"__tf{i}" for i in range(len(terms))))

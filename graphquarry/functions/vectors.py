@@ -34,3 +34,25 @@ def quantised(values: list[float], encoding: str | None) -> list[float]:
     elif encoding == "b1":
         v = np.where(v >= 0, np.float32(1), np.float32(-1))
     return [float(x) for x in v]
+
+
+def _half(x: Column) -> Column:
+    """The nearest half-precision number, ties to even, as a double."""
+    a = F.abs(x)
+    guess = F.floor(F.log2(F.when(a > 0, a).otherwise(F.lit(1.0))))
+    exponent = guess - F.when(F.pow(F.lit(2.0), guess) > a, 1).otherwise(0) + F.when(F.pow(F.lit(2.0), guess + 1) <= a, 1).otherwise(0)
+    unit = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-14)) - 10)
+    return F.when(a >= 65520.0, F.signum(x) * F.lit(float("inf"))).otherwise(F.rint(x / unit) * unit)
+
+
+def quantised_column(c: Column, encoding: str | None) -> Column:
+    """``quantised`` of every row of a vector column."""
+    if encoding == "f16":
+        return F.transform(c, lambda x: _half(x.cast("double")).cast("float"))
+    if encoding == "i8":
+        scale = (F.coalesce(F.array_max(F.transform(c, F.abs)), F.lit(0.0)).cast("double") / 127).cast("float").cast("double")
+        steps = F.transform(c, lambda x: (F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint((x.cast("double") / scale).cast("float").cast("double")))) * scale).cast("float"))
+        return F.when(scale > 0, steps).otherwise(c)
+    if encoding == "b1":
+        return F.transform(c, lambda x: F.when(x >= 0, 1.0).otherwise(-1.0).cast("float"))
+    return c

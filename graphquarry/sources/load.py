@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphquarry.errors import InvalidArgument
+from graphquarry.errors import InvalidArgument, NotFound
+from graphquarry.functions import vectors
 from graphquarry.types import Type, from_spark
 
 #: Stands for a quoted empty field, which CSV readers else can't tell from none.
@@ -14,8 +14,52 @@ EMPTY = "\u0001E"
 
 
 def _first_bytes(spark: SparkSession, path: str) -> bytes:
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4)).limit(1).collect()
-    return bytes(rows[0][0]) if rows else b""
+    """The first four bytes of a file, or of the first file of a folder; nothing more is read."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(at)
+    if not found:
+        raise NotFound(f"{path} does not exist")
+    status = found[0]
+    while status.isDirectory():
+        inside = [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
+        if not inside:
+            return b""
+        status = sorted(inside, key=lambda s: s.getPath().getName())[0]
+    stream = fs.open(status.getPath())
+    try:
+        return bytes(x for x in (stream.read() for _ in range(4)) if x >= 0)
+    finally:
+        stream.close()
+
+
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field holds a line break: some line has an odd number of quotes then."""
+    line = F.col("value")
+    return spark.read.text(path).where((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).head() is not None
+
+
+def _vector(c, kind: Type, name: str):
+    """A bracketed list of finite numbers, as long as the type says."""
+    n = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+    wrong = F.raise_error(F.concat(F.lit(f"column {name}: not a {kind}: "), c)).cast("array<float>")
+    got = F.transform(F.split(F.regexp_replace(c, r"[\[\]\s]", ""), ","), lambda x: x.cast("float"))
+    read = F.when(c.rlike(rf"^\s*\[\s*{n}(?:\s*,\s*{n})*\s*\]\s*$"), got).otherwise(wrong)
+    fits = F.forall(read, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    if kind.a:
+        fits = fits & (F.size(read) == kind.a)
+    return F.when(c.isNull(), F.lit(None).cast("array<float>")).otherwise(F.when(fits, read).otherwise(wrong))
+
+
+def _stored(c, kind: Type, name: str):
+    """A loaded column as the table keeps it: vectors checked and in their encoding."""
+    c = c.cast(kind.spark())
+    if kind.kind != "Vector":
+        return c
+    wrong = F.raise_error(F.lit(f"column {name}: a row's vector is no {kind}")).cast("array<float>")
+    fits = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(c) == kind.a if kind.a else F.lit(True))
+    return vectors.quantised_column(F.when(c.isNull() | fits, c).otherwise(wrong), kind.encoding)
 
 
 def _typed(c, kind: Type, name: str):
@@ -40,7 +84,7 @@ def _typed(c, kind: Type, name: str):
         text = F.regexp_replace(F.regexp_replace(c, r'^timestamp\("|"\)$', ""), "Z$", "")
         return text.cast("timestamp_ntz")
     if kind.kind == "Vector":
-        return F.from_json(c, T.ArrayType(T.FloatType()))
+        return vectors.quantised_column(_vector(c, kind, name), kind.encoding)
     if kind.kind == "GeoPoint":
         n = r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
         pattern = rf"^geo\(\s*{n}\s*,\s*{n}\s*\)$"
@@ -63,8 +107,8 @@ def read(spark: SparkSession, path: str, columns: list[tuple[str, Type]]) -> Dat
                 raise InvalidArgument(f"column {name} is {got} in {path}, the table has {kind}")
         if names != {n for n, _ in columns}:
             raise InvalidArgument(f"{path} has other columns: {', '.join(sorted(names - {n for n, _ in columns}))}")
-        return df.select(*(F.col(f"`{n}`").cast(k.spark()).alias(n) for n, k in columns))
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, nullValue="", emptyValue=EMPTY, enforceSchema=False)
+        return df.select(*(_stored(F.col(f"`{n}`"), k, n).alias(n) for n, k in columns))
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=_spans_lines(spark, path), nullValue="", emptyValue=EMPTY, enforceSchema=False)
     wanted = [n for n, _ in columns]
     if sorted(df.columns) != sorted(wanted):
         raise InvalidArgument(f"the header is {', '.join(df.columns)}; it must name each of {', '.join(wanted)} once")

@@ -291,3 +291,48 @@ def test_english_statements_and_refusals(spark):
     for q in ("frobnicate the widgets", "people where height over 3", "sales by the sea shore"):
         with pytest.raises(NoParse):
             compile_question(q, e.catalog)
+
+
+def test_loaded_vectors_are_checked_and_encoded(spark, tmp_path):
+    import numpy as np
+
+    from graphquarry.functions import vectors
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(40, 6)) * 10.0 ** rng.integers(-9, 6, (40, 1)), [[0, -0.0, 1, 65519, 65520, -7e4], [2.0**-24, 2.0**-25, 3 * 2.0**-25, 2.0**-14, 1 + 2.0**-11, 1 + 3 * 2.0**-11]]]).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").write.parquet(f"{tmp_path}/v.parquet")
+    for encoding in ("f16", "i8", "b1", "f32"):
+        e = build(spark, f"create node table V (id Int64 primary key, v Vector(6, {encoding}))", f'copy V from "{tmp_path}/v.parquet"')
+        got = {r[0]: list(r[1]) for r in e.query("nodes(V) as v | project v.id as id, v.v as v").collect()}
+        for i, v in enumerate(x):
+            assert got[i] == vectors.quantised(v.tolist(), encoding), (encoding, i)
+    for body in ("[1.0, 2.0, 3.0]", "[1.0]", "[1.0, x]", "[]", "1, 2", "[1.0, 1e39]"):
+        (tmp_path / "bad.csv").write_text(f'id,v\n1,"[1.0, 2.0]"\n2,"{body}"\n')
+        e = build(spark, "create node table W (id Int64 primary key, v Vector(2))")
+        e.execute(f'copy W from "{tmp_path}/bad.csv"')
+        with pytest.raises(Exception, match="not a Vector"):
+            e.query("nodes(W) as w").collect()
+    (tmp_path / "good.csv").write_text('id,v\n1,"[1.0, -2e1]"\n2,\n')
+    e = build(spark, "create node table W (id Int64 primary key, v Vector(2))", f'copy W from "{tmp_path}/good.csv"')
+    assert rows(e.query("nodes(W) as w | project w.v as v")) == [([1.0, -20.0],), (None,)]
+    with pytest.raises(NotFound):
+        e.execute(f'copy W from "{tmp_path}/none.csv"')
+
+
+def test_scores_equal_integer_arithmetic(spark):
+    from graphquarry.functions import fulltext as T
+
+    long = "é" * 40
+    texts = ["Ada ada, ADA!", "the ada's adas", None, "", "ÉTÉ été ete", long + "x " + long, "a" * 70 + " " + "a" * 64, "x" * 3000 + " ada", "ada " * 500 + "bob"]
+    e = build(spark, "create node table D (id Int64 primary key, body String)", *(f"insert into D values ({i}, {'null' if t is None else chr(34) + t + chr(34)})" for i, t in enumerate(texts)))
+    for q in ("ada", "ada bob", "été", "ÉTÉ", "a" * 80, long, "ada's", "none", "bob ada ADA s"):
+        terms = list(dict.fromkeys(T.tokenise(q)))
+        toks = {i: T.tokenise(t) for i, t in enumerate(texts) if t is not None}
+        n, total = len(toks), sum(map(len, toks.values()))
+        want = {}
+        for i, ts in toks.items():
+            s = sum(T.term_score(T.idf(n, sum(x in y for y in toks.values())), ts.count(x), len(ts), n, total) for x in terms)
+            if any(x in ts for x in terms):
+                want[i] = s
+        got = {r[0]: r[1] for r in T.search(e.catalog.node_table("D").frame(spark), "body", q, "s").select("id", "s").collect()}
+        assert {k: int(v) for k, v in got.items()} == want, q
