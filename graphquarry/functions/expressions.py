@@ -35,6 +35,7 @@ class Scope:
     scores: dict[str, str] = field(default_factory=dict)
     outer: "Scope | None" = None
     lower_plan: Callable | None = None
+    joined: bool = False  # as an outer scope: its columns stand in the same rows
 
     def resolve(self, name: str) -> tuple[Column, Type]:
         key, scope, is_outer = fold(name), self, False
@@ -43,7 +44,7 @@ class Scope:
                 physical, kind = scope.columns[key]
                 c = F.col(f"`{physical}`")
                 return (c.outer() if is_outer else c), kind
-            scope, is_outer = scope.outer, True
+            scope, is_outer = scope.outer, is_outer or scope.outer is not None and not scope.outer.joined
         raise InvalidArgument(f"unknown column {name}{suggestion(name, self.columns)}")
 
 

@@ -10,13 +10,13 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.errors import InvalidArgument
 from graphquarry.functions import expressions as X
 from graphquarry.functions import fulltext, geo, vectors
-from graphquarry.plans.text import print_expr
+from graphquarry.plans.text import bindings_of, print_expr
 from graphquarry.types import BOOL, FLOAT64, INT64, NULL, STRING, Type, decimal, fold, suggestion
 
 
@@ -33,6 +33,7 @@ class Frame:
     output_only: list[tuple[str, str, Type]] = field(default_factory=list)
     names: dict[str, tuple[str, Type]] = field(default_factory=dict)  # further names that resolve
     bindings: set[str] = field(default_factory=set)
+    domain: list[str] = field(default_factory=list)  # outer values that the rows belong to
 
     def scope(self, lowering: "Lowering", outer: X.Scope | None) -> X.Scope:
         known = {fold(label): (p, t) for label, p, t in self.columns}
@@ -41,7 +42,7 @@ class Frame:
     def physical(self) -> list[str]:
         """Every column that is still of use."""
         shown = [p for _, p, _ in self.columns + self.output_only] + [p for p, _ in self.names.values()]
-        hidden = [k for _, k in self.nodes.values()] + [p for p, _ in self.order] + [*self.classes.values(), *self.scores.values()]
+        hidden = [k for _, k in self.nodes.values()] + [p for p, _ in self.order] + [*self.classes.values(), *self.scores.values(), *self.domain]
         return list(dict.fromkeys(shown + hidden))
 
     def sort_keys(self) -> list[Column]:
@@ -54,6 +55,8 @@ class Lowering:
     def __init__(self, catalog, spark):
         self.catalog, self.spark = catalog, spark
         self.serial = itertools.count()
+        self.medians: set[str] = set()
+        self.made: dict[int, Frame] = {}  # inputs that are lowered already
 
     def name(self, hint: str) -> str:
         return f"{''.join(c if c.isalnum() else '_' for c in hint)}__{next(self.serial)}"
@@ -75,11 +78,82 @@ class Lowering:
         return inner.df.select(f"`{physical}`").scalar(), kind
 
     def lower(self, plan: dict, outer: X.Scope | None = None) -> Frame:
+        if id(plan) in self.made:
+            return self.made[id(plan)]
         fn = getattr(self, f"_{plan.get('op')}", None)
         if fn is None:
             raise InvalidArgument(f"unknown operator {plan.get('op')}")
         return fn(plan, outer)
 
+    # -- scalar queries that group inside, which Catalyst does not decorrelate
+
+    def _hoisted(self, f: Frame, e, outer: X.Scope | None):
+        """``f`` with a column for each such query in an expression, and the expression that reads them."""
+        if outer is not None or "scalar" not in str(e):
+            return f, e
+        if isinstance(e, list):
+            out = []
+            for x in e:
+                f, x = self._hoisted(f, x, outer)
+                out.append(x)
+            return f, out
+        if not isinstance(e, dict):
+            return f, e
+        if "scalar" in e:
+            plan = e["scalar"]["plan"]
+            refs = self._outer_refs(f, plan)
+            if not refs or not _groups_inside(plan):
+                return f, e
+            return self._joined_scalar(f, plan, refs)
+        out = {}
+        for k, x in e.items():
+            f, out[k] = self._hoisted(f, x, outer)
+        return f, out
+
+    @staticmethod
+    def _outer_refs(f: Frame, plan: dict) -> dict[str, tuple[str, Type]]:
+        """Columns of ``f`` that the inner plan names and does not make itself."""
+        known = f.names | {fold(label): (p, t) for label, p, t in f.columns}
+        own = {fold(b) for b in bindings_of(plan)}
+        return {k: known[k] for k in map(fold, _names(plan)) if k in known and k.split(".")[0] not in own}
+
+    def _joined_scalar(self, f: Frame, plan: dict, refs: dict[str, tuple[str, Type]]):
+        """The query for all different outer values at once, joined back to the rows."""
+        here = {k: (self.name("outer"), t) for k, (_, t) in refs.items()}
+        domain = f.df.select(*(F.col(f"`{refs[k][0]}`").alias(p) for k, (p, _) in here.items())).distinct()
+        inner = self._in_domain(plan, X.Scope(here, joined=True, lower_plan=self.scalar), domain, [p for p, _ in here.values()])
+        if len(inner.columns) + len(inner.output_only) != 1:
+            raise InvalidArgument(f"a scalar query has one column, not {len(inner.columns) + len(inner.output_only)}")
+        if not inner.domain:
+            raise InvalidArgument("a scalar query that groups inside names outer columns in its filters only")
+        _, physical, kind = inner.columns[0]
+        out, back = self.name("scalar"), {p: self.name("back") for p, _ in here.values()}
+        one = F.when(F.count("*") > 1, F.raise_error(F.lit("scalar subquery returned more than one row")).cast(kind.spark())).otherwise(F.first(F.col(f"`{physical}`")))
+        found = inner.df.groupBy(*inner.domain).agg(one.alias(out)).withColumnsRenamed(back)
+        same = [F.col(f"`{refs[k][0]}`").eqNullSafe(F.col(back[p])) for k, (p, _) in here.items()]
+        df = f.df.join(found, same, "left").drop(*back.values())
+        return replace(f, df=df, names=f.names | {fold(out): (out, kind)}), {"col": out}
+
+    def _in_domain(self, plan: dict, outer: X.Scope, domain: DataFrame, keys: list[str]) -> Frame:
+        """A plan's rows for every outer value, which the first filter that names one brings in."""
+        op = plan.get("op")
+        if op not in ("Filter", "Project", "Aggregate", "Sort"):
+            return self.lower(plan)
+        f = self._in_domain(plan["input"], outer, domain, keys)
+        if op == "Filter" and not f.domain and any(fold(n) in outer.columns for n in _names(plan["predicate"])):
+            c, t = X.lower(plan["predicate"], f.scope(self, outer))
+            if t not in (BOOL, NULL):
+                raise InvalidArgument(f"a filter is Bool, not {t}")
+            return replace(f, df=f.df.join(domain, c.cast("boolean")), domain=keys)
+        self.made[id(plan["input"])] = f
+        out = getattr(self, f"_{op}")(plan, outer)
+        if op == "Aggregate" and out.domain and not plan["group_by"]:  # one row for every outer value, of no rows too
+            left = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in keys]
+            zero = {a["as"] for a in plan["aggs"] if a["fn"] == "count"}
+            shown = [(F.coalesce(F.col(f"a.`{p}`"), F.lit(0)) if label in zero else F.col(f"a.`{p}`")).alias(p) for label, p, _ in out.columns]
+            out = replace(out, df=domain.alias("d").join(out.df.alias("a"), left, "left").select("d.*", *shown))
+        return out
+
     # -- sources
 
     def _scan(self, table: str, binding: str) -> Frame:
@@ -225,16 +299,17 @@ class Lowering:
 
     def _Filter(self, plan, outer) -> Frame:
         f = self.lower(plan["input"], outer)
-        c, t = X.lower(plan["predicate"], f.scope(self, outer))
+        f, predicate = self._hoisted(f, plan["predicate"], outer)
+        c, t = X.lower(predicate, f.scope(self, outer))
         if t not in (BOOL, NULL):
             raise InvalidArgument(f"a filter is Bool, not {t}")
         return replace(f, df=f.df.where(c.cast("boolean")))
 
     def _Project(self, plan, outer) -> Frame:
-        f = self.lower(plan["input"], outer)
+        f, exprs = self._hoisted(self.lower(plan["input"], outer), plan["exprs"], outer)
         scope = f.scope(self, outer)
         columns, extra, seen, new = [], {}, set(), []
-        for item in plan["exprs"]:
+        for item in exprs:
             label = item["as"]
             if fold(label) in seen:
                 raise InvalidArgument(f"two outputs are named {label}")
@@ -249,15 +324,15 @@ class Lowering:
                 p = self.name("x")
                 new.append(c.alias(p))
             columns.append((label, p, t))
-        hidden = [k for _, k in f.nodes.values()] + [p for p, _ in f.order] + [*f.classes.values(), *f.scores.values()]
+        hidden = [k for _, k in f.nodes.values()] + [p for p, _ in f.order] + [*f.classes.values(), *f.scores.values(), *f.domain]
         kept = dict.fromkeys([*hidden, *(p for p, _ in extra.values())])
         df = f.df.select(*(F.col(f"`{k}`") for k in kept), *new)
         return replace(f, df=df, columns=columns, names=extra, output_only=[])
 
     def _Sort(self, plan, outer) -> Frame:
-        f = self.lower(plan["input"], outer)
+        f, sorts = self._hoisted(self.lower(plan["input"], outer), plan["keys"], outer)
         scope, keys, new = f.scope(self, outer), [], []
-        for k in plan["keys"]:
+        for k in sorts:
             c, t = X.lower(k["expr"], scope)
             if not t.ordered:
                 raise InvalidArgument(f"{t} has no order")
@@ -302,7 +377,7 @@ class Lowering:
     # -- aggregates
 
     def _Aggregate(self, plan, outer) -> Frame:
-        f = self.lower(plan["input"], outer)
+        f, aggs = self._hoisted(self.lower(plan["input"], outer), plan["aggs"], outer)
         if not plan["group_by"] and not plan["aggs"]:
             raise InvalidArgument("an aggregate needs a function or a group")
         scope = f.scope(self, outer)
@@ -315,18 +390,24 @@ class Lowering:
             p = self.name("g")
             keys.append(c.cast(t.spark()).alias(p))
             groups.append((print_expr(e), p, t))
-        for a in plan["aggs"]:
+        for a in aggs:
             c, t = X.lower(a["expr"], scope)
             p = self.name("agg")
             value, kind = self._aggregate(a, c, t)
+            if a["fn"] == "percentile_cont":
+                self.medians.add(p)
             outs.append((a["as"], p, kind, value.alias(p)))
         for label in [g[0] for g in groups] + [o[0] for o in outs]:
             if fold(label) in seen:
                 raise InvalidArgument(f"two outputs are named {label}")
             seen.add(fold(label))
-        values = [o[3] for o in outs] or [F.count("*").alias(self.name("n"))]
+        medians = [(o[1], o[2], o[3]) for o in outs if isinstance(o[3], Column) and o[1] in self.medians]
+        values = [o[3] for o in outs if o[1] not in self.medians] or [F.count("*").alias(self.name("n"))]
+        keys += [F.col(f"`{p}`") for p in f.domain]
         df = f.df.groupBy(*keys).agg(*values) if keys else f.df.select(*values)
-        return Frame(df, groups + [(label, p, t) for label, p, t, _ in outs], [(p, False) for _, p, _ in groups], bindings=set())
+        for p, t, value in medians:
+            df = _with_median(df, f.df, keys, [g[1] for g in groups] + f.domain, value, p, t)
+        return Frame(df, groups + [(label, p, t) for label, p, t, _ in outs], [(p, False) for _, p, _ in groups], bindings=set(), domain=f.domain)
 
     @staticmethod
     def _aggregate(a: dict, c: Column, t: Type) -> tuple[Column, Type]:
@@ -340,7 +421,7 @@ class Lowering:
         if fn == "percentile_cont":
             if t.kind != "Decimal":
                 raise InvalidArgument(f"percentile_cont of {t}")
-            return _median(c, t), t
+            return c, t  # of all values; see _with_median
         if t == NULL:
             return F.max(c.cast("double" if fn == "avg" else "bigint")), FLOAT64 if fn == "avg" else INT64
         if not t.numeric:
@@ -352,13 +433,48 @@ class Lowering:
         return (F.sum(c).cast("double") / F.count(c) if t == INT64 else F.avg(c)), FLOAT64
 
 
-def _median(c: Column, t: Type) -> Column:
-    """Exact middle of a group; an error if the mean of two middles does not fit."""
-    a = F.array_sort(F.collect_list(c))
-    n = F.size(a)
-    low, high = F.get(a, F.floor((n - 1) / 2).cast("int")), F.get(a, F.floor(n / 2).cast("int"))
-    total = (low + high).cast(f"decimal(38,{t.b})")
+def _names(e) -> list[str]:
+    """Every column that an expression or plan names."""
+    if isinstance(e, list):
+        return [n for x in e for n in _names(x)]
+    if isinstance(e, dict):
+        own = [e["col"]] if isinstance(e.get("col"), str) else []
+        return own + [n for k, x in e.items() if k != "lit" for n in _names(x)]
+    return []
+
+
+def _groups_inside(plan: dict) -> bool:
+    """Whether a plan of filters, projections, sorts and aggregates groups below another step."""
+    chain = []
+    while plan.get("op") in ("Filter", "Project", "Aggregate", "Sort"):
+        chain.append(plan)
+        plan = plan["input"]
+    return any(p["op"] == "Aggregate" and p["group_by"] for p in chain)
+
+
+def _with_median(df: DataFrame, rows: DataFrame, keys: list[Column], names: list[str], value: Column, p: str, t: Type) -> DataFrame:
+    """``df``, one row a group, with the exact middle of each group's values.
+
+    Values are counted first, so a group is as many rows as it has different
+    values, and the middles are found by running counts over them in order;
+    nothing is collected. An error if the mean of two middles does not fit.
+    """
+    v, n, upto, all_, middle = (f"{x}_{p}" for x in ("v", "n", "upto", "all", "middle"))
+    counted = rows.select(*keys, value.alias(v)).where(F.col(f"`{v}`").isNotNull()).groupBy(*names, v).agg(F.count("*").alias(n))
+    of = Window.partitionBy(*(names or [F.lit(0)]))
+    ranked = counted.withColumn(upto, F.sum(n).over(of.orderBy(v))).withColumn(all_, F.sum(n).over(of))
+    first, last = F.floor((F.col(all_) + 1) / 2), F.floor(F.col(all_) / 2) + 1
+
+    def at(rank):
+        return F.max(F.when((F.col(upto) >= rank) & (F.col(upto) - F.col(n) < rank), F.col(v)))
+
+    total = (at(first) + at(last)).cast(f"decimal(38,{t.b})")
     half = F.round(total * F.lit(0.5).cast("decimal(2,1)"), t.b + 1 if t.b < 37 else 37)
     exact = half.cast(t.spark())
-    checked = F.when(exact == half, exact).otherwise(F.raise_error(F.lit(f"the median doesn't fit {t}")).cast(t.spark()))
-    return F.when(n == 0, F.lit(None).cast(t.spark())).otherwise(checked)
+    checked = F.when(half.isNull() | (exact == half), exact).otherwise(F.raise_error(F.lit(f"the median doesn't fit {t}")).cast(t.spark()))
+    found = ranked.groupBy(*names).agg(checked.alias(middle)) if names else ranked.agg(checked.alias(middle))
+    if not names:
+        return df.crossJoin(found).withColumnRenamed(middle, p)  # one row and one row
+    other = [f"{k}_{middle}" for k in names]
+    found = found.select(*(F.col(k).alias(o) for k, o in zip(names, other)), middle)
+    return df.join(found, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(names, other)], "left").drop(*other).withColumnRenamed(middle, p)

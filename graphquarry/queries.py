@@ -154,6 +154,18 @@ _register("x2_scalar_correlated", "nodes(Customer) as c | project c.c_custkey as
 _register("x3_scalar_none", "nodes(Nation) as n | project n.n_nationkey as k, scalar(nodes(Region) as r | filter r.r_regionkey = n.n_nationkey | project r.r_name) as name", "SELECT CAST(n_nationkey AS BIGINT) AS k, r_name AS name FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
 _register("x4_scalar_in_sort", "nodes(Nation) as n | sort scalar(nodes(Customer) as c | filter c.c_nationkey = n.n_nationkey | aggregate count(c.c_custkey) as k) desc | limit 5 | project n.n_nationkey as k", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation ORDER BY (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) DESC, n_nationkey LIMIT 5")
 
+_register(
+    "x5_scalar_groups_inside",
+    "nodes(Nation) as n | project n.n_nationkey as k, scalar(nodes(Customer) as c | aggregate count(c.c_custkey) as `g.n` by c.c_nationkey, c.c_mktsegment | filter c.c_nationkey = n.n_nationkey | aggregate max(g.n) as m) as m",
+    "WITH g AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment) SELECT CAST(n_nationkey AS BIGINT) AS k, max(g.n) AS m FROM nation LEFT JOIN g ON g.k = n_nationkey GROUP BY 1",
+)
+_register(
+    "x6_scalar_trailing_median",
+    'nodes(Nation) as n | project n.n_nationkey as k, scalar(nodes(Customer) as c | aggregate sum(c.c_acctbal * 10) as `h.s` by c.c_nationkey | filter c.c_nationkey >= n.n_nationkey - 3 and c.c_nationkey < n.n_nationkey | aggregate percentile_cont(decimal("0.5"), h.s) as m) as m, scalar(nodes(Customer) as d | aggregate sum(d.c_acctbal) as `t.s` by d.c_nationkey | filter d.c_nationkey > n.n_nationkey | aggregate count(t.s) as m) as later',
+    f"""WITH h AS (SELECT c_nationkey AS k, sum(CAST(c_acctbal AS {D})) AS s FROM customer GROUP BY 1), w AS (SELECT n_nationkey AS k, list_sort(list(h.s) FILTER (h.k >= n_nationkey - 3 AND h.k < n_nationkey)) AS a, count(h.s) FILTER (h.k > n_nationkey) AS later FROM nation CROSS JOIN h GROUP BY 1)
+SELECT CAST(k AS BIGINT) AS k, CAST(CASE WHEN a IS NULL OR len(a) = 0 THEN NULL WHEN len(a) % 2 = 1 THEN a[len(a) // 2 + 1] * 10 ELSE (a[len(a) // 2] + a[len(a) // 2 + 1]) * 5 END AS DECIMAL(38,2)) AS m, later FROM w""",
+)
+
 # traversal and expressions over whole tables
 _register("g1_expand_out", "nodes(Customer) as c | expand Placed out as o | project c.c_custkey as c, o.o_orderkey as o", "SELECT o_custkey AS c, o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey")
 _register(

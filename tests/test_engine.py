@@ -336,3 +336,34 @@ def test_scores_equal_integer_arithmetic(spark):
                 want[i] = s
         got = {r[0]: r[1] for r in T.search(e.catalog.node_table("D").frame(spark), "body", q, "s").select("id", "s").collect()}
         assert {k: int(v) for k, v in got.items()} == want, q
+
+
+def test_command_line(spark, tmp_path):
+    from graphquarry.__main__ import run
+
+    folder = f"{tmp_path}/db"
+    assert list(run(spark, folder, "create", None)) == []
+    for s in ("create node table T (id Int64 primary key, name String)", 'insert into T values (1, "é"), (2, null)'):
+        assert list(run(spark, folder, "execute", s)) == []
+    assert list(run(spark, folder, "query", "nodes(T) as t | project t.name as n, t.id as id")) == ['{"n": "é", "id": 1}', '{"n": null, "id": 2}']
+    assert list(run(spark, folder, "ask", "how many ts")) == ['{"count": 2}'] and list(run(spark, folder, "stats", None)) == ['{"T": 2}']
+    assert len(list(run(spark, folder, "dump", None))) == 3 and list(run(spark, folder, "plan", "nodes(T) as t"))[0] == "nodes(T) as t"
+
+
+def test_scalar_that_groups_inside(spark):
+    e = build(
+        spark,
+        "create node table Day (id Int64 primary key, day Int64, cost Decimal(12,2))",
+        'insert into Day values (1, 1, decimal("10.00")), (2, 1, decimal("5.00")), (3, 2, decimal("8.00")), (4, 3, decimal("4.00")), (5, 5, decimal("90.00")), (6, null, decimal("1.00"))',
+    )
+    past = 'scalar(nodes(Day) as h | aggregate sum(h.cost) as `past.cost` by h.day | filter h.day >= d.day - 3 and h.day < d.day | aggregate {}) as m'
+    q = "nodes(Day) as d | aggregate sum(d.cost) as `now.cost` by d.day | project d.day as day, " + past
+    got = {r[0]: r[1] for r in rows(e.query(q.format('percentile_cont(decimal("0.5"), past.cost) as x')))}
+    assert got == {1: None, 2: Decimal("15.00"), 3: Decimal("11.50"), 5: Decimal("6.00"), None: None}
+    got = {r[0]: r[1] for r in rows(e.query(q.format("count(past.cost) as x")))}
+    assert got == {1: 0, 2: 1, 3: 2, 5: 2, None: 0}
+    two = "nodes(Day) as d | filter scalar(nodes(Day) as h | aggregate sum(h.cost) as `p.c` by h.day | filter h.day < d.day | project p.c) > decimal(\"1.00\")"
+    with pytest.raises(Exception, match="more than one row"):
+        e.query(two).collect()
+    top = "nodes(Day) as d | sort scalar(nodes(Day) as h | aggregate sum(h.cost) as `p.c` by h.day | filter h.day = d.day | aggregate max(p.c) as x) desc, d.id | limit 3 | project d.id as id"
+    assert [r[0] for r in rows(e.query(top))] == [5, 1, 2]
