@@ -52,7 +52,9 @@ DISTANCE_MAP = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_HASH = 0x1E35A7BD
 #: Bytes of payloads coded together, about.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
+#: Bytes of media decoded together, about.
+DECODED_BYTES = 4_000_000
 
 
 class CorruptImage(ValueError):
@@ -108,7 +110,7 @@ class _Code:
         """By the next bits, as many as the longest code has: (symbol << 4) | length."""
         if self._table is None:
             self.longest = 0 if self.single is not None else int(self.lengths.max())
-            self._table = [self.single << 4] if self.single is not None else W.table_of(self.lengths, self.longest).tolist()
+            self._table = W.tables_of(self.lengths.astype(np.uint8)[None, :])[0][0].tolist()
         return self._table
 
     def read(self, bits: _Bits) -> int:
@@ -123,6 +125,9 @@ class _Code:
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
+    if bits.at + 4 <= bits.end and bits.peek(4) == 1:  # the simple code of symbol 0 alone
+        bits.at += 4
+        return bits.code(b"\1" + bytes(alphabet - 1))
     if bits.read(1):
         many, wide = bits.read(1) + 1, bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if many == 2 else [])
@@ -133,8 +138,10 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
             simple[s] = 1
         return bits.code(bytes(simple))
     first = bytearray(19)
-    for i in range(4 + bits.read(4)):
-        first[LENGTH_ORDER[i]] = bits.read(3)
+    n = 4 + bits.read(4)
+    three = bits.read(3 * n)
+    for i in range(n):
+        first[LENGTH_ORDER[i]] = three >> 3 * i & 7
     code = bits.code(bytes(first))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     table, mask = code.table(), (1 << code.longest) - 1
@@ -171,8 +178,7 @@ def _prefixed(bits: _Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _read_image(bits: _Bits, width: int, height: int, main: bool, later: bool = False) -> np.ndarray | W.Job:
-    """Pixels; with ``later`` a job for ``webp_batch`` where it can do it."""
+def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise CorruptImage("the colour cache is too large")
@@ -188,11 +194,6 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool, later: bool =
     g, r, b, a, _ = codes[0]
     if groups == 1 and not size and all(c.fixed is not None for c in (g, r, b, a)) and g.symbols[-1] < 256:
         return _read_fixed(bits, (g, r, b, a), total).reshape(height, width)
-    if later and groups == 1:
-        long = [0 if c.single is not None else int(c.lengths.max()) for c in codes[0]]
-        if sum(long[:4]) <= 57 and long[0] + long[4] <= 29:  # what a pixel takes fits the window
-            return W.Job(bits.data, bits.at, [c.lengths if c.single is None else c.single for c in codes[0]], cache_bits, width, height)
-
     out: list[int] = [0] * total
     cache = [0] * size
     shift = 32 - cache_bits
@@ -347,9 +348,9 @@ def _chunk(data: bytes) -> bytes:
     raise CorruptImage("no lossless image")
 
 
-def _opened(data: bytes, later: bool, codes: dict | None = None) -> tuple[np.ndarray | W.Job, list]:
-    """The main image, or the job that gives it, and the transforms to undo."""
-    bits = _Bits(_chunk(data), codes)
+def _opened(data: bytes) -> tuple[np.ndarray, list]:
+    """The main image, and the transforms to undo."""
+    bits = _Bits(_chunk(data))
     if bits.read(8) != 0x2F:
         raise CorruptImage("no VP8L signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -371,7 +372,7 @@ def _opened(data: bytes, later: bool, codes: dict | None = None) -> tuple[np.nda
             coded = (coded + (1 << _packing(size)) - 1) >> _packing(size)
         else:
             undo.append((kind, None, None))
-    return _read_image(bits, coded, height, True, later), undo
+    return _read_image(bits, coded, height, True), undo
 
 
 def _undone(x: np.ndarray, undo: list) -> np.ndarray:
@@ -392,19 +393,82 @@ def _undone(x: np.ndarray, undo: list) -> np.ndarray:
 
 def decode(data: bytes) -> np.ndarray:
     """Pixels (height, width) as 0xAARRGGBB of one lossless file, pixel by pixel."""
-    return _undone(*_opened(data, False))
+    return _undone(*_opened(data))
 
 
 _DX, _DY = (np.array(c, np.int64) for c in zip(*DISTANCE_MAP))
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """Pixels of many lossless files."""
-    codes: dict = {}
-    opened = [_opened(data, True, codes) for data in files]
-    jobs = [x for x, _ in opened if isinstance(x, W.Job)]
-    done = iter(W.decode_images(jobs, _DX, _DY, CACHE_HASH, CorruptImage) if jobs else [])
-    return [_undone(next(done) if isinstance(x, W.Job) else x, undo) for x, undo in opened]
+    """Pixels of many lossless files.
+
+    Those of one group of codes and at most a palette advance together; any
+    other, and any that seems broken, is decoded by itself, which also says
+    what is wrong with it.
+    """
+    if not files:
+        return []
+    bodies = [_chunk(data) for data in files]
+    streams = W.Streams(bodies)
+    who = np.arange(len(files))
+    alone = np.array([len(b) < 8 for b in bodies])
+
+    def codes(some: np.ndarray, cache: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for n in (280 + np.where(cache > 0, 1 << cache, 0), *(np.full(len(some), k) for k in (256, 256, 256, 40))):
+            lengths, bad = W.read_codes(streams, some, n, LENGTH_ORDER)
+            alone[some[bad]] = True
+            out.append(lengths)
+        return out
+
+    alone |= streams.read(who, 8) != 0x2F
+    width, height = streams.read(who, 14) + 1, streams.read(who, 14) + 1
+    alone |= streams.read(who, 4) >> 1 != 0
+    alone |= width * height > 1 << 22  # large ones don't gain by it
+    coded, palettes = width.copy(), {}
+    more = streams.read(who, 1) == 1
+    indexed = who[more & ~alone]
+    if len(indexed):
+        alone[indexed] |= streams.read(indexed, 2) != PALETTE
+        indexed = indexed[~alone[indexed]]
+        size = streams.read(indexed, 8) + 1
+        alone[indexed] |= streams.read(indexed, 1) != 0  # a cache
+        keep = ~alone[indexed]
+        indexed, size = indexed[keep], size[keep]
+        if len(indexed):
+            read = codes(indexed, np.zeros(len(indexed), np.int64))
+            shades, bad = W.decode_images(streams, W.Images(indexed, read, np.zeros(len(indexed), np.int64), size, np.ones(len(indexed), np.int64)), _DX, _DY, CACHE_HASH)
+            alone[indexed[bad]] = True
+            for i, x in zip(indexed.tolist(), shades):
+                palettes[i] = _join(np.cumsum(_split(x[0]), axis=0))
+            packed = np.select([size <= 2, size <= 4, size <= 16], [3, 2, 1], 0)
+            coded[indexed] = (width[indexed] + (1 << packed) - 1) >> packed
+            left = indexed[~alone[indexed]]
+            alone[left] |= streams.read(left, 1) != 0  # more transforms
+    together = who[~alone]
+    cache = np.zeros(len(files), np.int64)
+    if len(together):
+        cached = together[streams.read(together, 1) == 1]
+        if len(cached):
+            cache[cached] = streams.read(cached, 4)
+            alone[cached] |= (cache[cached] < 1) | (cache[cached] > 11)
+        together = who[~alone]
+        alone[together] |= streams.read(together, 1) != 0  # groups of codes
+        together = who[~alone]
+    out: list = [None] * len(files)
+    if len(together):
+        read = codes(together, cache[together])
+        longest = [int(c.max(initial=0)) for c in read]
+        if sum(longest[:4]) > 57 or longest[0] + longest[4] > 29:  # what a pixel takes doesn't fit the window
+            alone[together] = True
+        good = ~alone[together]
+        together, read = together[good], [c[good] for c in read]
+    if len(together):
+        pixels, bad = W.decode_images(streams, W.Images(together, read, cache[together], coded[together], height[together]), _DX, _DY, CACHE_HASH)
+        for i, x, broken in zip(together.tolist(), pixels, bad.tolist()):
+            if not broken:
+                out[i] = _unpalette(x, palettes[i], int(width[i])) if i in palettes else x
+    return [decode(data) if x is None else x for data, x in zip(files, out)]
 
 
 # --- writing -----------------------------------------------------------------
@@ -728,7 +792,7 @@ def load_many(medias: list[bytes]) -> list[tuple[bytes, str]]:
             files.append(data)
             owners.append(i)
             held += len(data)
-            if held >= PART_BYTES // 2:
+            if held >= DECODED_BYTES:
                 flush()
                 held = 0
     flush()
@@ -754,18 +818,19 @@ def features_of(payload: bytes) -> str:
     entropy = float(-(p * np.log2(p)).sum()) + 0.0
     light = raw.reshape(-1, W.WIDTH).sum(1)
     bands = np.add.reduceat(light, np.arange(16) * len(light) // 16) if len(light) >= 16 else np.resize(light, 16)
-    code = int.from_bytes(np.packbits(bands > np.median(bands)).tobytes(), "big")
+    ranked = np.sort(bands)
+    code = int.from_bytes(np.packbits(2 * bands.astype(np.int64) > int(ranked[7]) + int(ranked[8])).tobytes(), "big")
     return f"{W.WIDTH}x{len(light)};mean={mean:.4f};std={spread:.4f};entropy={entropy:.4f};bands={code:04x}"
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of batches whose values (texts or bytes) take about PART_BYTES."""
+    """Slices of batches whose values (texts or bytes) take about twice DECODED_BYTES."""
     for b in batches:
         sizes = np.cumsum([len(x) if x is not None else 0 for x in (v.as_buffer() if v.is_valid else None for v in b.column(column))])
         lo = 0
         while lo < b.num_rows:
             before = sizes[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(sizes, before + PART_BYTES, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(sizes, before + 2 * DECODED_BYTES, side="right")))
             part = b.slice(lo, hi - lo)
             yield part, part.column(column).to_pylist()
             lo = hi

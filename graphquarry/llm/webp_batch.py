@@ -8,9 +8,9 @@ images together: matches come from one sort of four-byte windows, the greedy
 parse advances all images by a token at a time, code lengths are Shannon's,
 shortened until the code is complete, and bits are laid down by their offsets.
 
-``decode_images`` reads any images whose main image has one group of codes and
-advances all of them by a pixel at a time: an image either reads a symbol or
-goes on with a copy.
+``read_codes`` reads the prefix codes of many streams a symbol at a time, and
+``decode_images`` any images with one group of codes a pixel at a time: an image
+either reads a symbol or goes on with a copy.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 WIDTH = 64
 #: Rows of one image at most; longer payloads become several.
 TILE_ROWS = 64
-CACHE_BITS = 4
+CACHE_BITS = 2
 LIMIT = 13
 LITERALS, LENGTHS = 256, 24
 GREENS = LITERALS + LENGTHS + (1 << CACHE_BITS)
@@ -80,28 +80,33 @@ def code_bits(lengths: np.ndarray) -> np.ndarray:
     return np.where(lengths > 0, _LOW3[np.minimum(out, (1 << LIMIT) - 1)], 0).astype(np.uint32)
 
 
-def _matches(raw: np.ndarray, tile: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _matches(raw: np.ndarray, tile: np.ndarray, place: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distance to the last place in the image with the same four bytes (0: none), and for how long all agrees."""
     n = len(raw)
     padded = raw.tobytes() + bytes(16)
-    at = np.arange(n, dtype=np.int64)
-    place = at - start[tile]
-    inside = np.flatnonzero(at + 4 <= end[tile])
-    grams = np.ndarray((n,), "<u4", padded, strides=(1,))[inside].astype(np.uint64)
-    key = tile[inside].astype(np.uint64) << np.uint64(44) | grams << np.uint64(12) | place[inside].astype(np.uint64)
+    key = np.ndarray((n,), "<u4", padded, strides=(1,)).astype(np.uint64)
+    key <<= np.uint64(12)
+    key |= place.astype(np.uint64)
+    key |= tile.astype(np.uint64) << np.uint64(44)
     key.sort()
-    same = np.flatnonzero(key[1:] >> np.uint64(12) == key[:-1] >> np.uint64(12)) + 1
-    off = (key & np.uint64(4095)).astype(np.int64)
-    p = start[(key[same] >> np.uint64(44)).astype(np.int64)] + off[same]
+    off = (key & np.uint64(4095)).astype(np.int32)
+    key >>= np.uint64(12)
+    same = np.flatnonzero(key[1:] == key[:-1]) + 1
+    first = (end - np.diff(end, prepend=0))[(key[same] >> np.uint64(32)).view(np.int64)]
+    del key
+    p = first + off[same]
     d = off[same] - off[same - 1]
+    room = end[tile[p]] - p
+    whole = room >= 4  # windows that reach into the next image are none
+    p, d, room = p[whole], d[whole], room[whole]
     distance, length = np.zeros(n, np.int32), np.ones(n, np.int32)
     window = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
-    got, room = np.full(len(p), 4, np.int64), end[tile[p]] - p
+    got = np.full(len(p), 4, np.int64)
     going = np.flatnonzero(room > 4)
     while len(going):
         q = p[going] + got[going]
         x = window[q] ^ window[q - d[going]]
-        equal = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+        equal = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> np.uint8(3)).astype(np.int64)
         got[going] += equal
         going = going[(equal == 8) & (got[going] < room[going])]
     distance[p], length[p] = d, np.minimum(got, room)
@@ -165,15 +170,17 @@ def encode_tiles(raw: np.ndarray, sizes: np.ndarray, order: tuple[int, ...], nea
     images, sizes = len(sizes), np.asarray(sizes, np.int64)
     end = np.cumsum(sizes)
     start = end - sizes
-    tile = np.repeat(np.arange(images), sizes)
-    flat = tile * 256 + raw
+    tile = np.repeat(np.arange(images, dtype=np.int32), sizes)
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(start.astype(np.int32), sizes)
+    flat = (tile << 8) + raw
     used = np.bincount(flat, minlength=256 * images).reshape(images, 256) > 0
     colours = used.sum(1)
     indexed = colours > 16
     index = np.where(indexed[:, None], np.cumsum(used, 1) - 1, np.arange(256)).astype(np.uint8)
     value = index.reshape(-1)[flat]
     del flat
-    distance, length = _matches(raw, tile, start, end)
+    distance, length = _matches(raw, tile, place, end)
+    del place
 
     mark = np.zeros(len(raw), bool)
     at, stop = start.copy(), end.copy()
@@ -191,8 +198,8 @@ def encode_tiles(raw: np.ndarray, sizes: np.ndarray, order: tuple[int, ...], nea
     hit, key = np.zeros(len(raw), bool), keys[value]
     for k in range(1 << CACHE_BITS):
         where = np.flatnonzero(key == k)
-        again = (value[where[1:]] == value[where[:-1]]) & (tile[where[1:]] == tile[where[:-1]])
-        hit[where[1:][again]] = True
+        what, whose = value[where], tile[where]
+        hit[where[1:][(what[1:] == what[:-1]) & (whose[1:] == whose[:-1])]] = True
     cached = hit[at] & ~copy
     symbol, extra, extra_bits = prefixed(n)
     green = np.where(copy, LITERALS + symbol, np.where(cached, LITERALS + LENGTHS + keys[v].astype(np.int64), v))
@@ -221,14 +228,17 @@ def encode_tiles(raw: np.ndarray, sizes: np.ndarray, order: tuple[int, ...], nea
     f.constant(*palette_head, where=indexed)
     shades = np.sort(np.where(used, np.arange(256), 999), axis=1)
     shift = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint32)
-    present = (np.arange(256) < colours[:, None]) & indexed[:, None]
-    f.put_many(np.where(present, shift[np.diff(shades, axis=1, prepend=0) & 255], 0), np.where(present, 8, 0))
+    widest = int(np.where(indexed, colours, 1).max())
+    present = (np.arange(widest) < colours[:, None]) & indexed[:, None]
+    f.put_many(np.where(present, shift[np.diff(shades[:, :widest], axis=1, prepend=0) & 255], 0), np.where(present, 8, 0))
     f.put(1 << 1 | CACHE_BITS << 2, 7)  # no more transforms, a cache, no groups of codes
     head = length_header(order)
     f.constant(*head)
-    literal = (np.arange(256) < colours[:, None]) | ~indexed[:, None]
-    f.put_many(np.where(literal, _PLAIN[green_len[:, :256]], 0), np.where(literal, 4, 0))
-    zeros = np.where(indexed, 256 - colours, 0)
+    top = np.where(indexed, colours, 256 - np.argmax(used[:, ::-1], axis=1))  # of the bytes as they are written
+    top = np.maximum(top, 2)  # a symbol without use may have been given to code 0 or 1
+    literal = np.arange(int(top.max())) < top[:, None]
+    f.put_many(np.where(literal, _PLAIN[green_len[:, : literal.shape[1]]], 0), np.where(literal, 4, 0))
+    zeros = 256 - top
     for run in (np.where(zeros > 138, zeros // 2, zeros), np.where(zeros > 138, zeros - zeros // 2, 0)):
         short, long = (run >= 3) & (run < 11), run >= 11
         f.put(np.where(long, _LENGTH_CODE[18] | (run - 11) << 4, np.where(short, _LENGTH_CODE[17] | (run - 3) << 4, 0)), np.where(long, 11, np.where(short, 7, 4 * run)))
@@ -274,58 +284,143 @@ _EXTRA = np.array([max(0, (s - 2) >> 1) for s in range(40)], np.uint64)
 _BASE = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)], np.int64)
 
 
-def table_of(lengths: np.ndarray, longest: int, turned: np.ndarray | None = None) -> np.ndarray:
-    """By the next bits: symbol and length, as (symbol << 4) | length."""
-    used = np.flatnonzero(lengths)
-    ranked = used[np.argsort(lengths[used], kind="stable")]
-    spread = np.repeat((ranked << 4 | lengths[ranked]).astype(np.int32), 1 << (longest - lengths[ranked]))
-    return spread[reversal(longest) if turned is None else turned]
-
-
-class Job:
-    """One image's main part: where its bits begin, its five codes, cache and shape.
-
-    A code is an int, the only symbol, or an array of lengths.
-    """
-
-    def __init__(self, data: bytes, at: int, codes: list, cache_bits: int, width: int, height: int):
-        self.data, self.at, self.codes, self.cache_bits, self.width, self.height = data, at, codes, cache_bits, width, height
-
-
-def decode_images(jobs: list[Job], dx: np.ndarray, dy: np.ndarray, cache_hash: int, corrupt: type[Exception]) -> list[np.ndarray]:
-    """Pixels (height, width) of every job."""
-    rank = sorted(range(len(jobs)), key=lambda i: -jobs[i].width * jobs[i].height)
-    ordered = [jobs[i] for i in rank]
-    many = len(ordered)
-    total = np.array([j.width * j.height for j in ordered])
-    width = np.array([j.width for j in ordered])
+class Streams:
+    """Many streams in one buffer, and where each is read next."""
+
+    def __init__(self, parts: list[bytes], spare: int = 4096):
+        # room for what broken streams may read past their end
+        self.data = b"".join(parts) + bytes(spare)
+        self.window = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.uint64) * np.uint64(8)
+        self.at, self.end = ends[:-1].copy(), ends[1:]
+
+    def peek(self, who: np.ndarray) -> np.ndarray:
+        """The next 57 bits at least."""
+        pos = self.at[who]
+        return self.window[np.minimum((pos >> 3).view(np.int64), len(self.window) - 1)] >> (pos & 7)
+
+    def read(self, who: np.ndarray, n: int) -> np.ndarray:
+        out = (self.peek(who) & np.uint64((1 << n) - 1)).view(np.int64)
+        self.at[who] += np.uint64(n)
+        return out
+
+
+def tables_of(lengths: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Tables by the next bits, (symbol << 4) | length; how many bits; which rows are no complete code."""
+    many, n = lengths.shape
+    used = lengths > 0
+    alone = used.sum(1) == 1
+    longest = 0 if alone.all() else int(lengths[~alone].max())
+    room = np.where(used, 1 << np.maximum(0, longest - lengths.astype(np.int64)), 0)
+    room[alone] = np.where(used[alone], 1 << longest, 0)
+    bad = room.sum(1) != 1 << longest
+    if bad.any():
+        room[bad] = 0
+        room[bad, 0] = 1 << longest
+    rank = np.argsort(np.where(used, lengths, 99).astype(np.int64) * n + np.arange(n), axis=1)
+    entry = (np.arange(n) << 4 | np.where(alone[:, None], 0, lengths)).astype(np.uint16)
+    spread = np.repeat(np.take_along_axis(entry, rank, 1).reshape(-1), np.take_along_axis(room, rank, 1).reshape(-1))
+    return spread.reshape(many, 1 << longest)[:, reversal(longest)], longest, bad
+
+
+def read_codes(streams: Streams, who: np.ndarray, alphabet: np.ndarray, order: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the next code of some streams, and which of them are broken."""
+    widest = int(alphabet.max())
+    lengths = np.zeros((len(who), widest), np.uint8)
+    bad = np.zeros(len(who), bool)
+    bits = streams.peek(who)
+    simple = np.flatnonzero(bits & np.uint64(1))
+    if len(simple):
+        b = bits[simple].view(np.int64)
+        two, wide = b >> 1 & 1, b >> 2 & 1
+        first = np.where(wide, b >> 3 & 255, b >> 3 & 1)
+        n = 3 + np.where(wide, 8, 1)
+        second = np.where(two, b >> n & 255, first)
+        bad[simple] = np.maximum(first, second) >= alphabet[simple]
+        lengths[simple, np.minimum(first, widest - 1)] = 1
+        lengths[simple, np.minimum(second, widest - 1)] = 1
+        streams.at[who[simple]] += (n + 8 * two).astype(np.uint64)
+    own = np.flatnonzero((bits & np.uint64(1)) == 0)
+    if not len(own):
+        return lengths, bad
+    w = who[own]
+    n = 4 + (bits[own] >> np.uint64(1) & np.uint64(15)).view(np.int64)
+    streams.at[w] += np.uint64(5)
+    three = streams.peek(w)
+    first = np.zeros((len(own), 19), np.uint8)
+    for i, symbol in enumerate(order):
+        first[:, symbol] = np.where(i < n, (three >> np.uint64(3 * i) & np.uint64(7)).view(np.int64), 0)
+    streams.at[w] += (3 * n).astype(np.uint64)
+    limit = streams.peek(w).view(np.int64)
+    some = limit & 1
+    extra = 2 + 2 * (limit >> 1 & 7)
+    left = np.where(some, 2 + (limit >> 4 & ((1 << extra) - 1)), alphabet[own])
+    streams.at[w] += np.where(some, 4 + extra, 1).astype(np.uint64)
+    table, longest, broken = tables_of(first)
+    bad[own] |= broken
+    flat, mask, base = table.reshape(-1), np.uint64((1 << longest) - 1), np.arange(len(own)) << longest
+    pos, previous, end = np.zeros(len(own), np.int64), np.full(len(own), 8, np.uint8), alphabet[own]
+    going = np.flatnonzero(~bad[own])
+    while len(going):
+        b = streams.peek(w[going])
+        got = flat[base[going] + (b & mask).view(np.int64)]
+        n, symbol = (got & 15).astype(np.uint64), got >> 4
+        if (symbol < 16).all():
+            lengths[own[going], pos[going]] = symbol
+            previous[going] = np.where(symbol > 0, symbol, previous[going])
+            pos[going] += 1
+            streams.at[w[going]] += n
+        else:
+            run = symbol >= 16
+            kind = np.where(run, symbol - 16, 0)
+            extra = np.array([2, 3, 7], np.uint64)[kind]
+            count = np.where(run, np.array([3, 3, 11])[kind] + (b >> n & ((np.uint64(1) << extra) - np.uint64(1))).view(np.int64), 1)
+            value = np.where(run, np.where(symbol == 16, previous[going], 0), symbol).astype(np.uint8)
+            over = pos[going] + count > end[going]
+            bad[own[going[over]]] = True
+            count = np.where(over, end[going] - pos[going], count)
+            row = np.repeat(own[going], count)
+            ahead = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            lengths[row, np.repeat(pos[going], count) + ahead] = np.repeat(value, count)
+            previous[going] = np.where(~run & (symbol > 0), symbol, previous[going])
+            pos[going] += count
+            streams.at[w[going]] += n + np.where(run, extra, np.uint64(0))
+        left[going] -= 1
+        going = going[(pos[going] < end[going]) & (left[going] > 0)]
+    return lengths, bad
+
+
+class Images:
+    """Main parts of images: whose streams, five codes' lengths, cache and shape."""
+
+    def __init__(self, who: np.ndarray, codes: list[np.ndarray], cache_bits: np.ndarray, width: np.ndarray, height: np.ndarray):
+        self.who, self.codes, self.cache_bits, self.width, self.height = who, codes, cache_bits, width, height
+
+
+def decode_images(streams: Streams, images: Images, dx: np.ndarray, dy: np.ndarray, cache_hash: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pixels (height, width) of every image, and which are broken; the streams stand behind them then."""
+    rank = np.argsort(-images.width * images.height, kind="stable")
+    owner = images.who[rank]
+    many = len(owner)
+    width = images.width[rank]
+    total = width * images.height[rank]
     steps = int(total[0])
-    # room for what broken streams may read past their end, 8 bytes a step at most
-    data = b"".join(j.data for j in ordered) + bytes(8 * steps + 8)
-    byte = np.cumsum([0, *(len(j.data) for j in ordered)])
-    at = (8 * byte[:-1] + np.array([j.at for j in ordered])).astype(np.uint64)
-    window = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-
-    tables, offsets, masks = [], [], []
-    turned: dict[int, np.ndarray] = {}
-    for c in range(5):
-        parts, where, mask = [], np.zeros(many, np.int64), np.zeros(many, np.uint64)
-        size = 0
-        for i, j in enumerate(ordered):
-            code = j.codes[c]
-            longest = 0 if isinstance(code, int) else int(code.max())
-            if longest not in turned:
-                turned[longest] = reversal(longest)
-            parts.append(np.array([code << 4], np.int32) if isinstance(code, int) else table_of(code, longest, turned[longest]))
-            where[i], mask[i] = size, (1 << longest) - 1
-            size += len(parts[-1])
-        tables.append(np.concatenate(parts))
-        offsets.append(where)
-        masks.append(mask)
-    plain = all(isinstance(x, int) for j in ordered for x in j.codes[1:4])
-    rest = np.array([j.codes[1] << 16 | j.codes[2] | j.codes[3] << 24 if plain else 0 for j in ordered], np.uint32)
-    size = np.array([1 << j.cache_bits if j.cache_bits else 0 for j in ordered])
-    shift = np.array([(32 - j.cache_bits) & 31 for j in ordered], np.uint32)
+    at, window, top = streams.at[owner], streams.window, len(streams.window) - 1
+    bad = np.zeros(many, bool)
+    tables, offsets, masks, plain = [], [], [], True
+    rest = np.zeros(many, np.uint32)
+    for c, up in zip(range(5), (8, 16, 0, 24, 0)):
+        table, longest, broken = tables_of(images.codes[c][rank])
+        bad |= broken
+        tables.append(table.reshape(-1))
+        offsets.append(np.arange(many) << longest)
+        masks.append(np.uint64((1 << longest) - 1))
+        if c in (1, 2, 3):
+            plain &= longest == 0
+            rest |= (table[:, 0] >> 4).astype(np.uint32) << np.uint32(up)
+    cache_bits = images.cache_bits[rank]
+    size = np.where(cache_bits > 0, 1 << cache_bits, 0)
+    shift = ((32 - cache_bits) & 31).astype(np.uint32)
     slot = np.cumsum(size) - size
     cache = np.zeros(int(size.sum()) + 1, np.uint32)
     cachers = np.flatnonzero(size)
@@ -339,7 +434,7 @@ def decode_images(jobs: list[Job], dx: np.ndarray, dy: np.ndarray, cache_hash: i
 
     out = np.zeros((steps, many), np.uint32)
     flat = out.reshape(-1)
-    left, back = np.zeros(many, np.int32), np.zeros(many, np.int64)
+    left, back = np.zeros(many, np.int64), np.zeros(many, np.int64)
     active = np.searchsorted(-total, -np.arange(steps), side="left").tolist()
     for s in range(steps):
         n = active[s]
@@ -348,8 +443,8 @@ def decode_images(jobs: list[Job], dx: np.ndarray, dy: np.ndarray, cache_hash: i
         reading = np.flatnonzero(~copying)
         if len(reading):
             pos = at[reading]
-            bits = window[(pos >> 3).view(np.int64)] >> (pos & 7)
-            got = greens[green_at[reading] + (bits & green_mask[reading]).view(np.int64)]
+            bits = window[np.minimum((pos >> 3).view(np.int64), top)] >> (pos & 7)
+            got = greens[green_at[reading] + (bits & green_mask).view(np.int64)].astype(np.int32)
             length, symbol = got & 15, got >> 4
             other = np.flatnonzero(symbol >= 256)
             if plain:
@@ -358,7 +453,7 @@ def decode_images(jobs: list[Job], dx: np.ndarray, dy: np.ndarray, cache_hash: i
                 pixel, shown = (symbol << 8).astype(np.uint32), bits >> length.astype(np.uint64)
                 used = length.copy()
                 for c, up in ((1, 16), (2, 0), (3, 24)):
-                    more = tables[c][offsets[c][reading] + (shown & masks[c][reading]).view(np.int64)]
+                    more = tables[c][offsets[c][reading] + (shown & masks[c]).view(np.int64)]
                     pixel |= (more >> 4).astype(np.uint32) << np.uint32(up)
                     used += more & 15
                     shown = shown >> (more & 15).astype(np.uint64)
@@ -377,14 +472,16 @@ def decode_images(jobs: list[Job], dx: np.ndarray, dy: np.ndarray, cache_hash: i
                     ahead = bits[other] >> length[other].astype(np.uint64)
                     span, e = number(ahead, kind - 256)
                     ahead >>= e
-                    far = tables[4][offsets[4][k] + (ahead & masks[4][k]).view(np.int64)]
+                    far = tables[4][offsets[4][k] + (ahead & masks[4]).view(np.int64)]
                     w = (far & 15).astype(np.uint64)
                     code, f = number(ahead >> w, far >> 4)
                     length[other] += (e + w + f).astype(np.int32)
                     close = np.minimum(code, 120) - 1
                     dist = np.where(code > 120, code - 120, np.maximum(1, dx[close] + dy[close] * width[k]))
-                    if (dist > s).any() or (s + span > total[k]).any():
-                        raise corrupt("a back-reference leaves the image")
+                    wrong = (dist > s) | (s + span > total[k])
+                    if wrong.any():  # its pixels no longer matter
+                        bad[k[wrong]] = True
+                        span, dist = np.where(wrong, np.minimum(span, total[k] - s), span), np.where(wrong, 0, dist)
                     left[k], back[k] = span, dist * many
                     copying[k] = True
             at[reading] = pos + length.astype(np.uint64)
@@ -397,10 +494,12 @@ def decode_images(jobs: list[Job], dx: np.ndarray, dy: np.ndarray, cache_hash: i
         elif any_cached:
             k = cachers[: np.searchsorted(cachers, n)]
             cache[slot[k] + (row[k] * hasher >> shift[k])] = row[k]
-    if (at > (8 * byte[1:]).astype(np.uint64)).any():
-        raise corrupt("the stream ends early")
+    bad |= at > streams.end[owner]
+    streams.at[owner] = at
     columns = np.ascontiguousarray(out.T)
     result: list = [None] * many
-    for i, (j, x) in enumerate(zip(ordered, columns)):
-        result[rank[i]] = x[: total[i]].reshape(j.height, j.width)
-    return result
+    for i, k in enumerate(rank.tolist()):
+        result[k] = columns[i, : total[i]].reshape(-1, width[i])
+    back_in_order = np.empty(many, bool)
+    back_in_order[rank] = bad
+    return result, back_in_order
