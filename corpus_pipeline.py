@@ -3,6 +3,11 @@
 Every stage is ``(spark, docs, sf_dir) -> DataFrame``; ``run`` writes each
 stage's rows as Parquet to the shared folder and rereads them for the next.
 All stages but the last return the columns of ``documents``.
+
+Defined results: each operator's own for null, empty and very long texts, ties
+and repeated rows; rows with a null id go through every stage (they have no
+label and are no copies of each other); extra columns are kept by all stages
+but the last, whatever their names; empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Replace personal data in the texts by format-preserving pseudonyms.
 
     ``n_chars`` stays right because every pseudonym is as long as its original
-    (only IPv4 addresses may change by a few digits, so it is counted anew).
+    (only addresses and dates with names may change by a few characters, so it is counted anew).
     """
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.key_of(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -21,7 +21,8 @@ the scores of all its ends.
 Defined results: a null or empty text, or one without a match, has a null
 licence, score 0 and no matches; ties go to the first template by name, then
 to the first line; texts of any length are scanned whole; rows sharing an id
-stay separate rows; extra columns are ignored.
+stay separate rows; extra columns are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
