@@ -3,7 +3,8 @@
 A hash function rotates a unit vector by three rounds of random signs and a
 fast Walsh-Hadamard transform and takes the nearest signed axis; a table's
 bucket joins FUNCTIONS of them. Every vector is in one bucket of each table,
-and a query probes the PROBES buckets of a table whose axes fit it best.
+and a query probes the buckets of a table whose axes fit it best: as many as
+hold about CANDIDATES vectors when they are dealt evenly, PROBES at least.
 The buckets of a table are dealt to slots, and a query is sent once to each slot
 that has some of its buckets. There it is scored against every vector of those
 buckets by the exact cosine, in double precision on the original vectors, and
@@ -35,6 +36,8 @@ from graphquarry.llm.common import sorted_runs, stage_table
 TABLES = 32
 FUNCTIONS = 2
 PROBES = 64
+#: Vectors that a query's buckets of one table hold at least, if all buckets are as full.
+CANDIDATES = 100
 SEED = 97
 #: Vectors of one slot in one task, at most about.
 SALT_ROWS = 4096
@@ -119,11 +122,18 @@ def _merged(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([vec], pa.binary()), pa.array([ids[0]], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["vec", "rep", "ids"])
 
 
-def _placed(batches: Iterator[pa.RecordBatch], probes: int, tables: int, slots: int, kind: str) -> Iterator[pa.RecordBatch]:
+def probes_for(dim: int, vectors: int, least: int = PROBES) -> int:
+    """How many buckets of a table of so many vectors a query probes."""
+    width = 1 << max(1, (dim - 1).bit_length())
+    buckets_of_all = (2 * width) ** FUNCTIONS
+    return min(buckets_of_all, max(least, -(-CANDIDATES * buckets_of_all // max(1, vectors))))
+
+
+def _placed(batches: Iterator[pa.RecordBatch], probes: int, tables: int, slots: int, kind: str, vectors: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows (tab, slot, id, codes, vec) of a vector's bucket; with ``probes`` of all buckets of a slot that a query probes."""
     for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
+        for lo in range(0, b.num_rows, 250):
+            part = b.slice(lo, 250)
             ids, data = part.column("rep").to_numpy(), np.array(part.column("vec").to_pylist(), object)
             raw = [np.frombuffer(x, kind) for x in data]
             for dim in sorted({len(x) for x in raw}):
@@ -131,7 +141,7 @@ def _placed(batches: Iterator[pa.RecordBatch], probes: int, tables: int, slots:
                 unit = _unit([raw[i] for i in at])
                 for t in range(tables):
                     signs = rotations(dim, t)
-                    code = probed(unit, signs, probes) if probes else buckets(unit, signs)[:, None]
+                    code = probed(unit, signs, probes_for(dim, vectors, probes)) if probes else buckets(unit, signs)[:, None]
                     row, code = np.repeat(np.arange(len(at)), code.shape[1]), code.reshape(-1)
                     slot = _slots(code, slots)
                     order = np.lexsort((slot, row))
@@ -239,13 +249,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TAB
     asked_ids = stage_table(named[1].mapInArrow(lambda it: _usable(it, 1 << 40, kind), "vec binary, ids array<long>"))
     probe = stage_table(asked.groupBy("vec").agg(F.min(F.array_min("ids")).alias("rep")))
 
-    slots = max(1, -(-base.count() // SALT_ROWS))
+    size = base.count()
+    slots = max(1, -(-size // SALT_ROWS))
     row = "tab long, slot long, id long, codes binary, vec binary"
     placed = stage_table(base.select("rep", "vec").mapInArrow(lambda it: _placed(it, 0, tables, slots, kind), row))
     # staged, so that its size is known: the few slots over size are broadcast and no vector moves for them
     large = stage_table(placed.groupBy("tab", "slot").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts")).where("salts > 1"))
     salts = F.coalesce("salts", F.lit(1).cast("long"))
-    looking = probe.mapInArrow(lambda it: _placed(it, probes, tables, slots, kind), row).join(large, ["tab", "slot"], "left")
+    looking = probe.mapInArrow(lambda it: _placed(it, probes, tables, slots, kind, size), row).join(large, ["tab", "slot"], "left")
     looking = looking.select("tab", "slot", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "id", "codes", "vec")
     stored = placed.join(large, ["tab", "slot"], "left").select("tab", "slot", F.pmod(F.xxhash64("id"), salts).alias("salt"), F.lit(1).alias("kind"), "id", "codes", "vec")
     both = looking.union(stored).repartition("tab", "slot", "salt").sortWithinPartitions("tab", "slot", "salt", "kind")
