@@ -43,25 +43,38 @@ BROADCAST_SOURCES = 100_000
 SEED = 20_240_601
 
 
+def _running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """``df`` with running sums of columns in a global order, by ranges of rows.
+
+    Only one row a range meets in one task; the ranges' own rows stay apart.
+    """
+    at = unused("range", df.columns)
+    spread = stage_table(df.repartitionByRange(max(1, df.sparkSession.sparkContext.defaultParallelism), *order).withColumn(at, F.spark_partition_id()))
+    lead = spread.groupBy(at).agg(*(F.sum(c).alias(f"of_{n}") for n, c in sums.items()))
+    earlier = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    lead = lead.select(at, *(F.coalesce(F.sum(f"of_{n}").over(earlier), F.lit(0)).alias(f"of_{n}") for n in sums))
+    inside = Window.partitionBy(at).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = spread.join(F.broadcast(lead), at)
+    return out.select(*df.columns, *((F.col(f"of_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """source, source_size, n_docs and target from per-source totals.
 
     The resharing settles where target = min(cap * size, level * weight): with
     sources by cap * size / weight, the level is found at the first one that
-    its share doesn't fill. One row per source is all this handles.
+    its share doesn't fill. Sources are ranked and summed by ranges.
     """
+    s = _running(sizes.select("source", "source_size", "n_docs"), [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("w", w)
-    s = s.withColumn("full", cap * F.col("source_size")).withColumn("ratio", F.col("full") / F.col("w"))
-    by_ratio = Window.orderBy("ratio", "rank")
-    s = s.withColumn("before", F.sum("full").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("rest", F.sum("w").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    s = s.withColumn("total", F.sum("source_size").over(Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    s = s.withColumn("at", (budget * F.col("total") - F.coalesce("before", F.lit(0.0))) / F.col("rest"))
-    s = s.withColumn("place", F.row_number().over(by_ratio))
-    first = F.min_by(F.when(F.col("at") <= F.col("ratio"), F.col("at")), F.when(F.col("at") <= F.col("ratio"), F.col("place")))
-    s = s.withColumn("level", first.over(Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.when(F.col("level").isNull(), F.col("full")).otherwise(F.least("full", F.col("level") * F.col("w")))
+    s = s.withColumn("w", w).withColumn("full", cap * F.col("source_size")).withColumn("ratio", F.col("full") / F.col("w"))
+    s = stage_table(_running(s, [F.col("ratio"), F.col("rank")], {"filled": F.col("full"), "weighed": F.col("w")}))
+    total, weight = s.agg(F.sum("source_size"), F.sum("w")).first()
+    level = None
+    if total:
+        share = (budget * F.lit(int(total)) - F.col("filled") + F.col("full")) / (F.lit(float(weight)) - F.col("weighed") + F.col("w"))
+        level = s.withColumn("share", share).where("share <= ratio").agg(F.min_by("share", F.struct("ratio", "rank"))).first()[0]
+    target = F.col("full") if level is None else F.least(F.col("full"), F.lit(level) * F.col("w"))
     return s.select("source", "source_size", "n_docs", target.cast("double").alias("target"))
 
 
