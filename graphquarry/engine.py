@@ -2,8 +2,9 @@
 
 A version is an immutable ``Catalog``. A transaction works on its own copy and
 publishes it as a whole; the first of two that touch the same key or name wins.
-With a path, a commit writes the changed tables as new Parquet folders and then
-one new catalog file, so readers never see half a commit.
+With a path, a commit writes the rows that were added to a table as one more
+Parquet folder, or the whole table as a new one where rows were changed or
+deleted, and then one new catalog file, so readers never see half a commit.
 """
 
 from __future__ import annotations
@@ -239,8 +240,10 @@ class Transaction(Snapshot):
         found = t.frame(self.spark).select(F.col(f"`{t.key}`").alias("k")).join(F.broadcast(self._made([("k", kind)], [(k,) for k in keys])), "k", "left_semi")
         return {r[0] for r in found.distinct().collect()}  # at most as many as were given
 
-    def _put(self, kind: str, t, df: DataFrame, next_ord: int) -> None:
-        self.catalog = self.catalog.with_(kind, t.name, replace(t, frame=lambda spark: df, next_ord=next_ord))
+    def _put(self, kind: str, t, df: DataFrame, next_ord: int, new: DataFrame | None = None) -> None:
+        """``df`` as the table's rows; ``new`` if they are those before and these."""
+        added = None if new is None or t.added is None else (*t.added, new)
+        self.catalog = self.catalog.with_(kind, t.name, replace(t, frame=lambda spark: df, next_ord=next_ord, added=added))
 
     def _InsertNode(self, s) -> None:
         t = self.catalog.node_table(s["table"])
@@ -253,7 +256,7 @@ class Transaction(Snapshot):
             raise InvalidArgument(f"{t.name} has the key {sorted(there)[0]!r}")
         self.touched |= {(fold(t.name), k) for k in keys}
         new = self._made([*t.columns, ("__ord", INT64)], [(*r, t.next_ord + i) for i, r in enumerate(rows)])
-        self._put("nodes", t, t.frame(self.spark).unionByName(new), t.next_ord + len(rows))
+        self._put("nodes", t, t.frame(self.spark).unionByName(new), t.next_ord + len(rows), new)
 
     def _UpsertNode(self, s) -> None:
         t = self.catalog.node_table(s["table"])
@@ -322,7 +325,7 @@ class Transaction(Snapshot):
                 raise NotFound(f"{t.name} has no key {sorted(missing, key=str)[0]!r}")
             self.touched |= {(fold(t.name), k, "edge") for k in keys}
         new = self._made([("__from", ka), ("__to", kb), *r.columns, ("__ord", INT64)], rows)
-        self._put("rels", r, r.frame(self.spark).unionByName(new), r.next_ord + len(rows))
+        self._put("rels", r, r.frame(self.spark).unionByName(new), r.next_ord + len(rows), new)
 
     def _CopyNode(self, s) -> None:
         if fold(s["table"]) in self.catalog.rels:
@@ -358,7 +361,7 @@ class Transaction(Snapshot):
             df = df.withColumn("__f", F.monotonically_increasing_id()).orderBy(c.asc_nulls_last(), "__f").drop("__f")
         df = df.withColumn("__ord", F.monotonically_increasing_id() + t.next_ord)
         self.touched.add((fold(t.name),))
-        self._put(kind, t, t.frame(self.spark).unionByName(df), t.next_ord + (df.rdd.getNumPartitions() << 33))
+        self._put(kind, t, t.frame(self.spark).unionByName(df), t.next_ord + (df.rdd.getNumPartitions() << 33), df)
 
 
 class Engine(Snapshot):
@@ -429,9 +432,13 @@ class Engine(Snapshot):
         for kind in ("nodes", "rels"):
             for k, t in getattr(catalog, kind).items():
                 if getattr(self.catalog, kind).get(k) is not t:
-                    paths[k] = f"{self.path}/{k}.{self.generation}"
-                    t.frame(self.spark).write.parquet(paths[k])
-                    catalog = catalog.with_(kind, t.name, replace(t, frame=lambda spark, p=paths[k]: spark.read.parquet(p)))
+                    folder = f"{self.path}/{k}.{self.generation}"
+                    whole = t.added is None or k not in paths
+                    rows = t.frame(self.spark) if whole else reduce(DataFrame.unionByName, t.added) if t.added else None
+                    if rows is not None:
+                        rows.write.parquet(folder)
+                        paths[k] = [folder] if whole else [*paths[k], folder]
+                    catalog = catalog.with_(kind, t.name, replace(t, frame=lambda spark, p=tuple(paths[k]): spark.read.parquet(*p), added=()))
         fs, make = self._fs()
         draft, final = make(f"{self.path}/draft.{self.generation}"), make(f"{self.path}/catalog.{self.generation}.json")
         out = fs.create(draft, True)
@@ -464,6 +471,16 @@ class Engine(Snapshot):
         """The version that readers see; every commit is one."""
         return self.generation
 
+    def compact(self) -> int:
+        """One folder for each table again, as a new version; how many tables had more."""
+        with self.begin() as tx:
+            for kind in ("nodes", "rels"):
+                for k, t in getattr(self.catalog, kind).items():
+                    if len(self.paths.get(k, ())) > 1:
+                        tx.touched.add((k,))
+                        tx.catalog = tx.catalog.with_(kind, t.name, replace(t, added=None))
+        return sum((k,) in tx.touched for k in self.paths)
+
     def close(self) -> None:
         """Forget the tables; what was committed stays in the folder."""
         self.catalog, self.log = Catalog(), []

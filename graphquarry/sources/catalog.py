@@ -21,6 +21,7 @@ class NodeTable:
     key: str
     frame: Callable[[SparkSession], DataFrame]
     next_ord: int = 0
+    added: tuple | None = None  # rows that a folder's version lacks, where nothing else has changed
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class RelTable:
     columns: tuple[tuple[str, Type], ...]
     frame: Callable[[SparkSession], DataFrame]
     next_ord: int = 0
+    added: tuple | None = None
 
 
 @dataclass(frozen=True)
@@ -102,11 +104,11 @@ class Catalog:
             "pins": [{"name": p["name"], "text": p["text"]} for p in self.pins.values()],
         }
 
-    def to_json(self, paths: dict[str, str]) -> str:
+    def to_json(self, paths: dict[str, list[str]]) -> str:
         return json.dumps(self.summary() | {"pins": list(self.pins.values()), "paths": paths, "next": {k: t.next_ord for k, t in (self.nodes | self.rels).items()}})
 
     @staticmethod
-    def from_json(text: str) -> tuple["Catalog", dict[str, str]]:
+    def from_json(text: str) -> tuple["Catalog", dict[str, list[str]]]:
         d = json.loads(text)
         out = Catalog()
 
@@ -114,13 +116,13 @@ class Catalog:
             return tuple((c["name"], parse_type(c["type"])) for c in x["columns"])
 
         def reader(name):
-            path = d["paths"][fold(name)]
-            return lambda spark: spark.read.parquet(path)
+            folders = d["paths"][fold(name)]
+            return lambda spark: spark.read.parquet(*folders)
 
         for x in d["node_tables"]:
-            out = out.with_("nodes", x["name"], NodeTable(x["name"], cols(x), x["key"], reader(x["name"]), d["next"][fold(x["name"])]))
+            out = out.with_("nodes", x["name"], NodeTable(x["name"], cols(x), x["key"], reader(x["name"]), d["next"][fold(x["name"])], ()))
         for x in d["rel_tables"]:
-            out = out.with_("rels", x["name"], RelTable(x["name"], x["from"], x["to"], cols(x), reader(x["name"]), d["next"][fold(x["name"])]))
+            out = out.with_("rels", x["name"], RelTable(x["name"], x["from"], x["to"], cols(x), reader(x["name"]), d["next"][fold(x["name"])], ()))
         for x in d["interfaces"]:
             out = out.with_("interfaces", x["name"], Interface(x["name"], cols(x)))
         for x in d["node_tables"] + d["rel_tables"]:

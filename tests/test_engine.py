@@ -398,3 +398,31 @@ def test_names_are_looked_up(spark):
     for q in ("huts within 2 km of nowhere", "looks after of looks after of per", "what is nothing"):
         with pytest.raises(NoParse):
             e.ask(q)
+
+
+def test_commits_write_what_they_add(spark, tmp_path):
+    import os
+
+    e = build(spark, *PORTS, path=f"file://{tmp_path}/db")
+    files = lambda: {d: sum(f.endswith(".parquet") for f in os.listdir(f"{tmp_path}/db/{d}")) for d in os.listdir(f"{tmp_path}/db") if os.path.isdir(f"{tmp_path}/db/{d}")}
+    first = files()
+    e.execute('insert into Port values (60, "Pori")')
+    with e.begin() as tx:
+        tx.execute('insert into Port values (70, "Vaasa")')
+        tx.execute("insert rel into Sails values (60 -> 70, 4), (70 -> 60, 5)")
+        tx.execute('insert into Port values (80, "Kemi")')
+    added = {d: n for d, n in files().items() if d not in first}
+    assert len(added) == 3 and {d.split(".")[0] for d in added} == {"port", "sails"}
+    assert [spark.read.parquet(f"file://{tmp_path}/db/{d}").count() for d in sorted(added)] == [1, 2, 2]
+    want = rows(e.query("nodes(Port) as p"))
+    assert [r[0] for r in want] == [10, 20, 30, 40, 50, 60, 70, 80]
+    again = Engine.open(spark, f"file://{tmp_path}/db")
+    assert rows(again.query("nodes(Port) as p")) == want and len(again.paths["port"]) == 3
+    again.execute('update Port set name = "Bergen" where id = 60')
+    assert len(again.paths["port"]) == 1 and len(again.paths["sails"]) == 2
+    assert again.compact() == 1 and again.compact() == 0 and len(again.paths["sails"]) == 1
+    last = Engine.open(spark, f"file://{tmp_path}/db")
+    assert rows(last.query("nodes(Port) as p | filter p.id = 60")) == [(60, "Bergen")] and last.stats() == {"Port": 8, "Sails": 9}
+    last.execute("detach delete from Port where id = 80")
+    last.execute('insert into Port values (80, "Oulu")')
+    assert rows(Engine.open(spark, f"file://{tmp_path}/db").query("nodes(Port) as p | filter p.id = 80")) == [(80, "Oulu")]
