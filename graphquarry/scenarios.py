@@ -205,7 +205,7 @@ def _dump(e: Engine, sf_dir: str) -> DataFrame:
 @_scenario("pin_run", "SELECT r_name AS name FROM region WHERE r_regionkey >= 2")
 def _pins(e: Engine, sf_dir: str) -> DataFrame:
     e.pin("late", "nodes(Region) as r | filter r.r_regionkey >= 2 | project r.r_name as name")
-    e.execute('pin "gone" as (nodes(Region) as r)')
+    e.execute('pin "gone" as nodes(Region) as r')
     e.unpin("gone")
     return e.run_pin("late")
 
