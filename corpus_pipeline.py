@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.llm import bpe, jaccard, mixing, pii, quality
-from graphquarry.llm.common import stage_table, table
+from graphquarry.llm.common import forget, stage_table, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        earlier, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stage_table(docs)
+            forget(earlier)
     return docs

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import sorted_runs, stage_table
+from graphquarry.llm.common import forget, sorted_runs, stage_table
 
 TABLES = 32
 FUNCTIONS = 2
@@ -262,6 +262,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TAB
     both = looking.union(stored).repartition("tab", "slot", "salt").sortWithinPartitions("tab", "slot", "salt", "kind")
     found = both.mapInArrow(lambda it: _matched(it, k, kind), "query long, id long, near double").repartition("query").sortWithinPartitions("query")
     pairs = stage_table(found.mapInArrow(lambda it: _hopeful(it, k), "query long, id long"))
+    forget(placed, large)
 
     who = asked_ids.select("vec", F.explode("ids").alias("query_id")).join(probe, "vec").select("query_id", F.col("rep").alias("query"), F.col("vec").alias("qvec"))
     cand = pairs.join(base, pairs.id == base.rep).select("query", "vec", "ids").join(who, "query").select("query_id", "qvec", "vec", "ids")

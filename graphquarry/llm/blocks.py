@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm.common import small_batches
+
 #: Characters of text after which a block is closed.
 BLOCK_CHARS = 8_000_000
 SCHEMA = "kind byte, block long, bucket int, doc_id long, flag boolean, n long, data binary, extra binary"
@@ -125,6 +127,7 @@ def encode(docs: DataFrame, cut: Callable[[], Callable[[str], list]], to_bytes:
             yield from close()
 
     # the input's own partition, wherever this pass stands in a stage
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "flag", "text", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)
 
 def streamed(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

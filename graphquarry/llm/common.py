@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,24 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphquarry.sources.shared import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
-LOCAL_SHARED = "/tmp/graphquarry-shared"
 #: Small rows of one file.
 FILE_ROWS = 50_000
+#: Bytes of one file, as Spark estimates a table before it is made.
+FILE_BYTES = 32 << 20
+#: Rows of one batch for Python.
+ARROW_ROWS = 3000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to and from Python ARROW_ROWS at a time, unless the session has chosen a number.
 
-    Read from ``spark.checkpoint.dir``; a machine-local default is used only
-    when that is unset and Spark runs in one process.
+    A batch's buffers are allocated outside the heap and whole texts are long,
+    so Spark's usual number of rows takes hundreds of megabytes a task.
     """
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return LOCAL_SHARED
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def stage_table(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -35,14 +36,28 @@ def stage_table(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     This cuts lineage: later jobs reread the files, so losing an executor
     never recomputes (or changes) what has been written. Of a table that is
-    known to have about ``rows`` small rows, few files are made.
+    known to have about ``rows`` small rows, or that Spark takes to be small,
+    few files are made: four a core, or as many as hold FILE_BYTES each.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphquarry/{uuid.uuid4().hex}"
-    if rows is not None:
+    path = scratch(spark)
+    if rows is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        df = df.coalesce(min(2**31 - 1, max(4 * spark.sparkContext.defaultParallelism, size // FILE_BYTES)))
+    else:
         df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``stage_table`` wrote, where nothing that is still to run reads it."""
+    for t in tables:
+        if path := getattr(t, "staged_at", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +110,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges`` has long columns ``a`` and ``b``. Alternates large-star and
     small-star steps, which need O(log^2 n) rounds and never gather a
     neighbourhood: each step is a partially aggregated minimum joined back to
-    the edges. Returns ``id`` and ``comp`` for vertices that have edges.
+    the edges. Returns ``id`` and ``comp`` for vertices that have edges, as a
+    staged table.
     """
 
     def least(e: DataFrame) -> DataFrame:
@@ -105,14 +121,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = stage_table(e)
     size, before = e.count(), None
     if not size:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+        forget(e)
+        return stage_table(edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0))
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m2 = least(large)
         small = large.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(m2.select("u", F.col("m").alias("v"))).distinct()
-        e = stage_table(small, 2 * size)  # a star has no more edges than the graph, plus its vertices
+        earlier, e = e, stage_table(small, 2 * size)  # a star has no more edges than the graph, plus its vertices
+        forget(earlier)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == before:
             break
@@ -120,4 +138,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select("id", F.col("id").alias("comp")))
+    out = stage_table(e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select("id", F.col("id").alias("comp"))), 2 * size)
+    forget(e)
+    return out

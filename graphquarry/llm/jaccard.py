@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import connected_components, first_rows, sorted_runs, stage_table, unused
+from graphquarry.llm.common import connected_components, first_rows, forget, small_batches, sorted_runs, stage_table, unused
 
 SKETCH = 1 << 20
 #: Rows up to which a table of ids is broadcast; beyond, the join shuffles.
@@ -133,7 +133,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             pending.append(s)
             held += len(s)
             total += len(s)
-            if held > 2_000_000:
+            if held > 500_000:
                 flush()
         yield rows(0, ids, ns, h1, h2)
     flush()
@@ -271,16 +271,17 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     size = cand.count()
     if not size:
         return cand
-    ids = stage_table(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * size)
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    wanted = stage_table(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * size)
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     sets = docs.join(ids, "id", "left_semi").mapInArrow(lambda x: _sets(x, n), "id long, items binary")
     salts = cand.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
     body = cand.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), "a")
     body = body.join(sets, body.a == sets.id).select("b", "salt", F.lit(1).alias("kind"), "a", "items")
     heads = salts.join(sets, salts.b == sets.id).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("a"), "items")
     both = heads.union(body).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
-    return stage_table(both.mapInArrow(lambda x: _linked(x, percent), "a long, b long"))
+    out = stage_table(both.mapInArrow(lambda x: _linked(x, percent), "a long, b long"))
+    forget(cand, wanted)
+    return out
 
 
 def _fold(maps: np.ndarray) -> np.ndarray:
@@ -368,9 +369,8 @@ def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, on
     placed = shared.join(comp, "id", "left").select("head", "id", F.coalesce("comp", "id").alias("comp"))
     parts = placed.groupBy("head", "comp").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
     mixed = parts.groupBy("head").agg(F.count("*").alias("comps"), F.sum("n").alias("many"), F.min_by("comp", "lo").alias("main")).where("comps > 1")
-    mixed = stage_table(mixed.select("head", "main", "many"))
-    if mixed.count() <= BROADCAST_ROWS:
-        mixed = F.broadcast(mixed)
+    staged = stage_table(mixed.select("head", "main", "many"))
+    mixed = F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
     rows = stage_table(placed.join(mixed, "head").join(reps.select("id", "n"), "id"))
     x, y = (rows.where(f"many <= {SHORT_LIST}").select("head", F.col("id").alias(i), F.col("comp").alias(c), F.col("n").alias(k)) for i, c, k in (("a", "ca", "na"), ("b", "cb", "nb")))
     near = x.join(y, "head").where(f"a > b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "cb", "na", "nb").distinct()
@@ -390,9 +390,8 @@ def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, on
     # a hair wider than the sizes that may link, so that rounding leaves none out
     seeking = seeking.withColumn("band", F.explode(F.sequence(band(F.col("n") * (percent / 100 - 1e-9)), band(F.col("n") * (100 / percent + 1e-9)))))
     loads = [df.groupBy("head", "band").agg(F.ceil(F.count("*") / LIST_ROWS).alias(blocks)) for df, blocks in ((sought, "js"), (seeking, "ss"))]
-    loads = stage_table(loads[0].join(loads[1], ["head", "band"]))
-    if loads.count() <= BROADCAST_ROWS:
-        loads = F.broadcast(loads)
+    counted = stage_table(loads[0].join(loads[1], ["head", "band"]))
+    loads = F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted
 
     def side(df, role, j, s):
         return df.select("head", "band", j, s, F.lit(role).alias("role"), "id", "comp", "main", "n")
@@ -404,18 +403,22 @@ def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, on
     found = runs.mapInArrow(lambda it: _unmerged(it, percent, partners), _PAIR)
     if only is None:
         found = near.union(found)
-    return stage_table(found.groupBy("a", "b", "cb").agg(F.max("share").alias("share"), F.max("more").alias("more")))
+    out = stage_table(found.groupBy("a", "b", "cb").agg(F.max("share").alias("share"), F.max("more").alias("more")))
+    forget(staged, rows, counted)
+    return out
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: only the graph of components is solved anew."""
+    """Components after more links, in place of ``comp``: only the graph of components is solved anew."""
     edges = links.select("a", "b")
     for end in "ab":
         edges = edges.join(comp.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
     more = connected_components(edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     new = more.select("id", F.col("comp").alias("to"))
     moved = comp.join(new.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-    return stage_table(moved.union(new.join(comp.select("id"), "id", "left_anti").select("id", F.col("to").alias("comp"))))
+    out = stage_table(moved.union(new.join(comp.select("id"), "id", "left_anti").select("id", F.col("to").alias("comp"))))
+    forget(more, comp)
+    return out
 
 
 def _still_apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -437,7 +440,9 @@ def _copies(rows: DataFrame, total: int) -> DataFrame:
     single = groups.where("many = 1").select(F.col("rep").alias("id"), "n", "rep")
     few = groups.where(F.col("many").between(2, max(1, total // HOT_SHARE))).select(*same, "rep")
     some = rows.join(hot, same, "left_anti").join(few, same)
-    return stage_table(single.union(rows.join(hot, same).select("id", "n", "rep")).union(some.select("id", "n", "rep")))
+    out = stage_table(single.union(rows.join(hot, same).select("id", "n", "rep")).union(some.select("id", "n", "rep")))
+    forget(groups)
+    return out
 
 
 def _key_loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,11 +467,13 @@ def _shared(reps: DataFrame) -> DataFrame:
     entries = entries.withColumn("slot", slot)
     # the lists of very common keys never meet in one task: only their heads do
     common = entries.join(slots, "slot")
-    heads = stage_table(common.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head"))
-    heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
+    firsts = stage_table(common.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head"))
+    heads = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     rest = entries.join(slots, "slot", "left_anti").select("key", "id").repartition("key").sortWithinPartitions("key", "id")
     pairs = rest.mapInArrow(_lists, "id long, head long").union(common.join(heads, "key").select("id", "head"))
-    return stage_table(pairs.groupBy("id", "head").agg(F.count("*").alias("keys")))
+    out = stage_table(pairs.groupBy("id", "head").agg(F.count("*").alias("keys")))
+    forget(loads, firsts)
+    return out
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | None = None) -> DataFrame:
@@ -476,6 +483,7 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
     """
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     spark = d.sparkSession
+    small_batches(spark)
     seen = stage_table(d.mapInArrow(lambda x: _summaries(x, n), "kind byte, id long, n long, h1 long, h2 long"))
     rows = seen.where("kind = 0").select("id", "n", "h1", "h2")
 
@@ -489,24 +497,30 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
         boundary = _boundary(sizes, float((count.astype(np.float64) ** 2).sum()) / max(1, words), percent)
 
     members = _copies(rows.where("n > 0"), sum(c for _, c in sizes))
-    copies = stage_table(members.groupBy("id").agg(F.max(F.expr("int(id = rep)")).alias("own")).where("own = 0").select("id"))
-    if copies.count() <= BROADCAST_ROWS:
-        copies = F.broadcast(copies)
+    copied = stage_table(members.groupBy("id").agg(F.max(F.expr("int(id = rep)")).alias("own")).where("own = 0").select("id"))
+    copies = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
     keyed = d.mapInArrow(lambda x: _keys(x, n, percent, boundary, shipped), "id long, n long, keys array<long>, map binary")
     reps = stage_table(keyed.join(copies, "id", "left_anti"))
 
     shared = _shared(reps)
     best = shared.where("id <> head").groupBy("id").agg(F.max_by("head", F.struct("keys", -F.col("head"))).alias("head"))
-    comp = stage_table(connected_components(_verify(best.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, d, n, percent)))
+    first = _verify(best.select(F.col("id").alias("a"), F.col("head").alias("b")), reps, d, n, percent)
+    comp = connected_components(first)
 
     pairs = _apart(shared, comp, reps, percent)
     likeliest = pairs.groupBy("a", "cb").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b")).select("a", "b")
-    comp = _joined(comp, _verify(likeliest, reps, d, n, percent))
+    linked = _verify(likeliest, reps, d, n, percent)
+    comp = _joined(comp, linked)
     rest = _still_apart(pairs.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), comp)
-    comp = _joined(comp, _verify(rest, reps, d, n, percent))
+    more = _verify(rest, reps, d, n, percent)
+    comp = _joined(comp, more)
     only = stage_table(pairs.where("more").select(F.col("a").alias("id")).distinct())
     if only.head() is not None:
-        comp = _joined(comp, _verify(_still_apart(_apart(shared, comp, reps, percent, only).select("a", "b"), comp), reps, d, n, percent))
+        again = _apart(shared, comp, reps, percent, only)
+        last = _verify(_still_apart(again.select("a", "b"), comp), reps, d, n, percent)
+        comp = _joined(comp, last)
+        forget(again, last)
+    forget(reps, shared, pairs, only, first, linked, more, copied)
 
     every = rows.where("n = 0").select("id", "n", F.col("id").alias("rep")).union(members)
     doubled = every.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # one id, several texts

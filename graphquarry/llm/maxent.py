@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphquarry.llm import blocks as B
-from graphquarry.llm.common import stage_table
+from graphquarry.llm.common import forget, stage_table
 
 END = b"\n"  # no word holds white space
 #: Bound of what is broadcast; sizes stop to follow the corpus there.
@@ -435,6 +435,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = both.mapInArrow(lambda x: _looked_up(x, shipped.value, layout), B.SCHEMA)
     ready = stage_table(B.by_block(texts, known).mapInArrow(lambda x: _coded(x, total, distinct, cell_total), _TEXT_SCHEMA))
 
+    forget(coded, lexicon)
     model = Model(layout, cell_tokens)
 
     def sent():

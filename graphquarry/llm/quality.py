@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.llm.common import unused
+from graphquarry.llm.common import small_batches, unused
 
 N_WORDS = 1 << 15
 STAT_BINS = 12
@@ -59,7 +59,7 @@ class _WordSlots(dict):
     """Word to hashed slot; forgets everything when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         slot = self[word] = zlib.crc32(word) % N_WORDS
         return slot
@@ -212,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
 def score_column(spark, model: FactorisationMachine, text):
     """Column with the score of each whole text."""
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast((model.w0, model.w, model.v))
 
     @F.arrow_udf("double")
