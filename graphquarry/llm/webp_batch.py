@@ -92,24 +92,30 @@ def _matches(raw: np.ndarray, tile: np.ndarray, place: np.ndarray, end: np.ndarr
     off = (key & np.uint64(4095)).astype(np.int32)
     key >>= np.uint64(12)
     same = np.flatnonzero(key[1:] == key[:-1]) + 1
-    first = (end - np.diff(end, prepend=0))[(key[same] >> np.uint64(32)).view(np.int64)]
+    p = (end - np.diff(end, prepend=0))[(key[same] >> np.uint64(32)).view(np.int64)] + off[same]
     del key
-    p = first + off[same]
     d = off[same] - off[same - 1]
-    room = end[tile[p]] - p
-    whole = room >= 4  # windows that reach into the next image are none
-    p, d, room = p[whole], d[whole], room[whole]
+    near = end[tile[p]] - p >= 4  # windows that reach into the next image are none
     distance, length = np.zeros(n, np.int32), np.ones(n, np.int32)
+    distance[p[near]] = d[near]
+    # neighbours of one distance are one match, so only the first of them is followed to its end
+    p = np.flatnonzero(distance)
+    if not len(p):
+        return distance, length
+    d = distance[p].astype(np.int64)
+    leads = np.concatenate([[True], (d[1:] != d[:-1]) | (np.diff(p) != 1)])
+    first, back = p[leads], d[leads]
     window = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
-    got = np.full(len(p), 4, np.int64)
+    got, room = np.full(len(first), 4, np.int64), end[tile[first]] - first
     going = np.flatnonzero(room > 4)
     while len(going):
-        q = p[going] + got[going]
-        x = window[q] ^ window[q - d[going]]
+        q = first[going] + got[going]
+        x = window[q] ^ window[q - back[going]]
         equal = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> np.uint8(3)).astype(np.int64)
         got[going] += equal
         going = going[(equal == 8) & (got[going] < room[going])]
-    distance[p], length[p] = d, np.minimum(got, room)
+    stop = first + np.minimum(got, room)
+    length[p] = stop[np.cumsum(leads) - 1] - p
     return distance, length
 
 
