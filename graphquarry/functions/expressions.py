@@ -120,10 +120,6 @@ def _same(a: Type, b: Type, what: str) -> Type:
     raise InvalidArgument(f"{what}: {a} and {b} are not the same type")
 
 
-def _nan_free(e: dict) -> bool:
-    return "lit" in e
-
-
 def compare(op: str, a: Column, ta: Type, b: Column, tb: Type, plain: bool = False) -> Column:
     """IEEE for floats (NaN is unequal to all), exact between Int64 and Float64."""
     py = {"eq": lambda x, y: x == y, "ne": lambda x, y: x != y, "lt": lambda x, y: x < y, "le": lambda x, y: x <= y, "gt": lambda x, y: x > y, "ge": lambda x, y: x >= y}[op]

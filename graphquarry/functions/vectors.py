@@ -27,7 +27,8 @@ def quantised(values: list[float], encoding: str | None) -> list[float]:
     """What a vector reads back as after it is stored in an encoding."""
     v = np.array(values, np.float32)
     if encoding == "f16":
-        v = v.astype(np.float16).astype(np.float32)
+        with np.errstate(over="ignore"):  # too large ones are infinite
+            v = v.astype(np.float16).astype(np.float32)
     elif encoding == "i8":
         scale = np.float32(np.abs(v).max(initial=0.0) / 127)
         v = np.round(v / scale).clip(-127, 127).astype(np.float32) * scale if scale else v
