@@ -21,7 +21,9 @@ empty and linked with nothing. Texts link when 100 * |A & B| >= t * |A | B|.
    in different components are compared with each other, the likeliest partner
    in each component first. So a group of n near copies costs about n
    comparisons, a pair is met once for each shared head rather than for each
-   shared key, and no link between components is lost.
+   shared key, and no link between components is lost. A list names a forest
+   of likely pairs over its components first, and others only where one of
+   those isn't a link.
 4. Candidates pass an exact bound from parity bitmaps, then the exact count.
 
 Defined results: a null text has no words; rows with a null id take no part
@@ -48,12 +50,14 @@ BROADCAST_ROWS = 200_000
 #: Sets compared with one list head in one task.
 SALT_ROWS = 256
 #: Sets of one head on either side of one run of comparisons.
-LIST_ROWS = 1024
+LIST_ROWS = 4096
+#: Pairs that a run holds before it keeps only those that it will name.
+HELD_PAIRS = 200_000
 #: Heads of up to this many sets are joined with themselves.
 SHORT_LIST = 12
 #: Sets of one head are dealt by size in bands as wide as this power of 2.
 BAND = 1.0
-#: Likeliest partners of a set in one component that are named at once; what else there is takes a second search.
+#: Likeliest pairs of two components that a second search names at once; what else there is takes a third.
 PARTNERS = 8
 #: What holds more than this share of its table is hot and met by broadcast, so at most so many are.
 HOT_SHARE = 2000
@@ -289,25 +293,77 @@ def _fold(maps: np.ndarray) -> np.ndarray:
     return maps[:, :half] ^ maps[:, half:]
 
 
+def _forest(u: np.ndarray, v: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which of the edges u - v form a maximum spanning forest: every vertex takes its best, those taken merge, and again."""
+    at = np.argsort(-share, kind="stable")
+    u, v, kept = u[at], v[at], [np.empty(0, np.int64)]
+    root = list(range(int(max(u.max(), v.max())) + 1)) if len(u) else []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    while len(at):
+        best, back = np.full(len(root), len(at)), np.arange(len(at))[::-1]
+        for end in (u, v):
+            first = np.full(len(root), len(at))
+            first[end[::-1]] = back  # the last assignment stays: the least position
+            best = np.minimum(best, first)
+        pick = np.unique(best[best < len(at)])
+        kept.append(at[pick])
+        for x, y in zip(u[pick].tolist(), v[pick].tolist()):
+            root[find(x)] = find(y)
+        label = np.array([find(x) for x in range(len(root))])
+        u, v = label[u], label[v]
+        at, u, v = (c[u != v] for c in (at, u, v))
+    return np.concatenate(kept)
+
+
+def _foremost(group: np.ndarray, share: np.ndarray, many: int) -> np.ndarray:
+    """Positions of the ``many`` largest shares of each group."""
+    order = np.lexsort((-share, group))
+    g = group[order]
+    return order[np.arange(len(g)) - np.searchsorted(g, g, "left") < many]
+
+
 def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, partners: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of a head that are in different components and may link.
 
-    A run compares some of the sets outside the head's own component (role 0)
-    with some of all sets (role 1). Sets that link have bitmaps of the same
-    length, or one twice the other's. A set gets at most ``partners`` in a
-    component, the likeliest, and ``more`` says whether it had others.
+    A run compares its left sets (side 0) with its right ones (1) and those of
+    both sides (2) with all; sets that visit from a lower band aren't compared
+    with each other. Sets that link have bitmaps of the same length, or one
+    twice the other's. Of what it finds, a run names a forest that spans the
+    components, of the likeliest pairs (``partners`` 0), or so many of the
+    likeliest of any two components, or all (None); ``more`` says whether it
+    had others.
     """
-    for _, run in sorted_runs(batches, "head", "band", "j", "s"):
-        role, ids, n, comp, main = (run[c].to_numpy() for c in ("role", "id", "n", "comp", "main"))
+    for (head, *_), run in sorted_runs(batches, "head", "band", "i", "j"):
+        side, home, ids, n, comp = (run[c].to_numpy() for c in ("side", "home", "id", "n", "comp"))
+        label = np.unique(comp, return_inverse=True)[1]
+        if not label.any():
+            continue
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for chunk in run["map"].chunks for x in chunk]
         width = np.array([len(x) for x in raw])
         maps, at = {}, {}
-        for w in np.unique(width[role == 1]):
-            at[w] = np.flatnonzero((width == w) & (role == 1))
+        for w in np.unique(width[side != 0]):
+            at[w] = np.flatnonzero((width == w) & (side != 0))
             maps[w] = np.stack([raw[k] for k in at[w]])
         folded = {w: _fold(m) for w, m in maps.items() if w > 8}
-        out_a, out_b, out_c, out_s, out_m = [], [], [], [], []
-        for x in np.flatnonzero(role == 0):
+        held, size, more = [], 0, False
+
+        def fewer(parts):
+            x, k, share = (np.concatenate(c) for c in zip(*parts))
+            if partners is None:
+                return x, k, share
+            lo, hi = np.minimum(label[x], label[k]), np.maximum(label[x], label[k])
+            keep = _foremost(lo * len(label) + hi, share, partners) if partners else _forest(lo, hi, share)
+            return x[keep], k[keep], share[keep]
+
+        def named(x, k, share):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[x], ids[k], comp[k], share, np.full(len(x), more), np.full(len(x), head))], names=["a", "b", "cb", "share", "more", "head"])
+
+        for x in np.flatnonzero(side != 1):
             w = width[x]
             mine = raw[x][None, :]
             found = []
@@ -316,7 +372,9 @@ def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, partners: int | N
                     continue
                 k = at[other]
                 ok = (comp[k] != comp[x]) & (100 * np.minimum(n[k], n[x]) >= percent * np.maximum(n[k], n[x]))
-                ok &= (comp[k] == main[k]) | (ids[k] < ids[x])
+                ok &= (side[k] == 1) | (ids[k] < ids[x])
+                if not home[x]:
+                    ok &= home[k]
                 hit = np.flatnonzero(ok)
                 if not len(hit):
                     continue
@@ -327,21 +385,20 @@ def _unmerged(batches: Iterator[pa.RecordBatch], percent: int, partners: int | N
             if not found:
                 continue
             k, share = (np.concatenate(c) for c in zip(*found))
-            more = np.zeros(len(k), bool)
-            if partners is not None and len(k) > partners:
-                order = np.lexsort((ids[k], -share, comp[k]))
-                k, share = k[order], share[order]
-                first = np.searchsorted(comp[k], comp[k], "left")
-                more = np.searchsorted(comp[k], comp[k], "right") - first > partners
-                keep = np.arange(len(k)) - first < partners
-                k, share, more = k[keep], share[keep], more[keep]
-            out_a.append(np.full(len(k), ids[x]))
-            out_b.append(ids[k])
-            out_c.append(comp[k])
-            out_s.append(share)
-            out_m.append(more)
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_a, out_b, out_c, out_s, out_m)], names=["a", "b", "cb", "share", "more"])
+            if not len(k):
+                continue
+            held.append((np.full(len(k), x), k, share))
+            size += len(k)
+            if size > HELD_PAIRS:
+                held = [fewer(held)]
+                if partners is None:
+                    yield named(*held.pop())
+                more |= bool(held) and len(held[0][0]) < size
+                size = len(held[0][0]) if held else 0
+        if held:
+            kept = fewer(held)
+            more |= len(kept[0]) < size
+            yield named(*kept)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -354,17 +411,18 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([x.filter(fits) for x in (batch.column("a"), batch.column("b"), batch.column("cb"), share)], names=["a", "b", "cb", "share"])
 
 
-_PAIR = "a long, b long, cb long, share double, more boolean"
+_PAIR = "a long, b long, cb long, share double, more boolean, head long"
 
 
-def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, only: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (a, b) in different components, with b's component and a bound.
+def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, partners: int | None = 0) -> DataFrame:
+    """Candidate pairs (a, b) in different components, with b's component, a bound and the head.
 
-    The sets of a head with few are joined with themselves; of one with many,
-    those outside the head's component meet all others of a size that may link,
-    by bands of sizes, in runs of LIST_ROWS by LIST_ROWS. So what is copied is
-    what still has to be compared. With ``only`` (ids) just pairs of those with
-    all their partners are sought.
+    The sets of a head with few are joined with themselves. Those of one with
+    many go to the band of their size, and as visitors to the bands above that
+    hold sets which may link. A band with more than LIST_ROWS is cut into
+    blocks, which meet in runs of two; the sets of the head's own component
+    meet only others. So what is copied is what still has to be compared.
+    ``partners`` says how many pairs a run names.
     """
     placed = shared.join(comp, "id", "left").select("head", "id", F.coalesce("comp", "id").alias("comp"))
     parts = placed.groupBy("head", "comp").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
@@ -376,34 +434,26 @@ def _apart(shared: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, on
     near = x.join(y, "head").where(f"a > b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "cb", "na", "nb").distinct()
     m = reps.select("id", "map")
     near = near.join(m.select(F.col("id").alias("a"), F.col("map").alias("ma")), "a").join(m.select(F.col("id").alias("b"), F.col("map").alias("mb")), "b")
-    near = near.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, cb long, share double").withColumn("more", F.lit(False))
+    near = near.mapInArrow(lambda it: _bounded(it, percent), "a long, b long, cb long, share double").select("*", F.lit(False).alias("more"), F.lit(None).cast("long").alias("head"))
 
     def band(n):
-        return F.floor(F.log2(n) / BAND)
-
-    def each(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        return F.floor(F.log2(n) / BAND).cast("int")
 
-    many = rows.where(f"many > {SHORT_LIST}").withColumn("h", F.xxhash64("id"))
-    sought = many.withColumn("band", band(F.col("n")))
-    seeking = many.where("comp <> main") if only is None else many.where("comp <> main").join(only, "id", "left_semi")
     # a hair wider than the sizes that may link, so that rounding leaves none out
-    seeking = seeking.withColumn("band", F.explode(F.sequence(band(F.col("n") * (percent / 100 - 1e-9)), band(F.col("n") * (100 / percent + 1e-9)))))
-    loads = [df.groupBy("head", "band").agg(F.ceil(F.count("*") / LIST_ROWS).alias(blocks)) for df, blocks in ((sought, "js"), (seeking, "ss"))]
-    counted = stage_table(loads[0].join(loads[1], ["head", "band"]))
+    bands = F.sequence(band(F.col("n")), band(F.col("n") * (100 / percent + 1e-9)))
+    many = rows.where(f"many > {SHORT_LIST}").withColumn("band", F.explode(bands)).withColumn("home", F.col("band") == band(F.col("n")))
+    loads = many.groupBy("head", "band").agg(F.count_if(F.col("comp") != F.col("main")).alias("others"), F.count_if(F.col("comp") == F.col("main")).alias("mains"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("homes"))
+    loads = loads.where("lo < hi and homes").selectExpr("head", "band", f"int(ceil(others / {LIST_ROWS})) ks", f"if(others + mains <= {LIST_ROWS}, 0, int(ceil(mains / {LIST_ROWS}))) km")
+    counted = stage_table(loads)
     loads = F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted
 
-    def side(df, role, j, s):
-        return df.select("head", "band", j, s, F.lit(role).alias("role"), "id", "comp", "main", "n")
-
-    partners = PARTNERS if only is None else None
-    seeking = side(seeking.join(loads, ["head", "band"]).withColumn("j", each("js")), 0, F.col("j"), F.pmod(F.shiftright("h", 20), F.col("ss")).alias("s"))
-    sought = side(sought.join(loads, ["head", "band"]).withColumn("s", each("ss")), 1, F.pmod("h", F.col("js")).alias("j"), F.col("s"))
-    runs = seeking.union(sought).join(m, "id").repartition("head", "band", "j", "s").sortWithinPartitions("head", "band", "j", "s", "role")
-    found = runs.mapInArrow(lambda it: _unmerged(it, percent, partners), _PAIR)
-    if only is None:
-        found = near.union(found)
-    out = stage_table(found.groupBy("a", "b", "cb").agg(F.max("share").alias("share"), F.max("more").alias("more")))
+    # blocks 0 to ks - 1 hold the others, ks and so on the head's own component; with km = 0 all is one run
+    runs = many.join(loads, ["head", "band"]).selectExpr("*", "comp = main own", "int(if(comp = main, if(km = 0, 0, ks + pmod(xxhash64(id), greatest(km, 1))), pmod(xxhash64(id), ks))) p")
+    runs = runs.selectExpr("*", "explode(sequence(0, if(own, ks, ks + km) - 1)) t")
+    runs = runs.selectExpr("head", "band", "least(p, t) i", "greatest(p, t) j", "tinyint(if(own, 1, if(p = t, 2, if(p < t, 0, 1)))) side", "home", "id", "comp", "n")
+    runs = runs.join(m, "id").repartition("head", "band", "i", "j").sortWithinPartitions("head", "band", "i", "j")
+    found = near.union(runs.mapInArrow(lambda it: _unmerged(it, percent, partners), _PAIR))
+    out = stage_table(found.groupBy("a", "b", "cb").agg(F.max("share").alias("share"), F.max(F.when(F.col("more"), F.col("head"))).alias("more")))
     forget(staged, rows, counted)
     return out
 
@@ -421,11 +471,12 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _still_apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
+def _still_apart(pairs: DataFrame, comp: DataFrame, *more: str) -> DataFrame:
+    """The pairs whose ends are in different components, with ``more`` columns."""
+    pairs = pairs.select("a", "b", *more)
     for end in "ab":
         pairs = pairs.join(comp.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
-    return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", *more)
 
 
 def _copies(rows: DataFrame, total: int) -> DataFrame:
@@ -514,13 +565,17 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
     rest = _still_apart(pairs.join(likeliest, ["a", "b"], "left_anti").select("a", "b"), comp)
     more = _verify(rest, reps, d, n, percent)
     comp = _joined(comp, more)
-    only = stage_table(pairs.where("more").select(F.col("a").alias("id")).distinct())
-    if only.head() is not None:
-        again = _apart(shared, comp, reps, percent, only)
-        last = _verify(_still_apart(again.select("a", "b"), comp), reps, d, n, percent)
+    old = [reps, shared, pairs, first, linked, more, copied]
+    for partners in (PARTNERS, None):  # a run whose pairs failed names others
+        heads = stage_table(_still_apart(pairs.where("more is not null"), comp, "more").select(F.col("more").alias("head")).distinct())
+        old.append(heads)
+        if heads.head() is None:
+            break
+        pairs = _apart(shared.join(heads, "head", "left_semi"), comp, reps, percent, partners)
+        last = _verify(_still_apart(pairs, comp), reps, d, n, percent)
         comp = _joined(comp, last)
-        forget(again, last)
-    forget(reps, shared, pairs, only, first, linked, more, copied)
+        old += [pairs, last]
+    forget(*old)
 
     every = rows.where("n = 0").select("id", "n", F.col("id").alias("rep")).union(members)
     doubled = every.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # one id, several texts

@@ -86,6 +86,54 @@ def test_jaccard_large_groups(spark):
     assert sorted(tuple(r) for r in got.collect()) == linked(rows, 4, 85)
 
 
+def near_copies(seed, rows, length):
+    """Near copies of one text by one or two edits of a small choice, in order of no id."""
+    rng = random.Random(seed)
+    base, ids = words(rng, length, 5000).split(), rng.sample(range(10**6), rows)
+    for i in ids:
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 2))):
+            at = rng.randrange(length)
+            w[at] = f"e{at}x{rng.randrange(3)}"
+        yield i, " ".join(w), "a"
+
+
+def test_jaccard_tests_few_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    rows, tested, verify = list(near_copies(3, 1200, 100)), [], jaccard._verify
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    got = jaccard.components(table(spark, rows), 5, 80)
+    assert sorted(tuple(r) for r in got.collect()) == linked(rows, 5, 80)
+    assert sum(tested) <= 8 * len(rows)
+
+
+def test_jaccard_meets_all_blocks_of_a_long_list(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 32)
+    rng = random.Random(4)
+    passage = words(rng, 30, 5000)
+    rows = list(near_copies(4, 250, 60)) + [(10**6 + i, passage + " " + words(rng, rng.choice((2, 6, 9)), 40), "b") for i in range(200)]
+    got = jaccard.components(table(spark, rows), 4, 80)
+    assert sorted(tuple(r) for r in got.collect()) == linked(rows, 4, 80)
+
+
+def test_jaccard_forest_spans_by_the_largest_shares():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        u, v, share = rng.integers(0, 12, 30), rng.integers(0, 12, 30), rng.random(30)
+        u, v, share = (c[u != v] for c in (u, v, share))
+        group, want = list(range(12)), set()
+        for e in np.argsort(-share):
+            x, y = group[u[e]], group[v[e]]
+            if x != y:
+                want.add(int(e))
+                group = [y if g == x else g for g in group]
+        assert set(jaccard._forest(u, v, share).tolist()) == want
+
+
 def test_jaccard_keeps_one_of_each_and_takes_an_empty_table(spark, awkward):
     kept = jaccard.one_of_each(table(spark, awkward))
     assert kept.columns == table(spark, []).columns
