@@ -6,20 +6,25 @@ words the whole word sequence is the single shingle; without words the set is
 empty and linked with nothing. Texts link when 100 * |A & B| >= t * |A | B|.
 
 1. Texts with the same set collapse to one representative.
-2. Shingles are ordered rare first (a sketch of the frequent ones, then by
-   hash). Two linked sets share the first L shingles of their intersection,
+2. Shingles are ordered rare first (by a sketch of all counts, then by hash).
+   Two linked sets share the first L shingles of their intersection,
    and these lie in the first |A| - ceil(t|A|) + L of A, likewise for B.
    * light sets (up to ``boundary`` shingles) enumerate every 2-subset of
      their L=2 prefix as a key;
    * heavy sets, and light ones large enough to link to a heavy one, enter the
-     inverted lists of the single shingles of their L=1 prefix.
+     inverted lists of the single shingles of their prefix, with an L that
+     grows with the set, so that linked sets share L lists at least.
    The boundary is where enumerating costs as much as scanning lists, by the
-   list lengths measured in the corpus.
+   list lengths of the rare shingles that prefixes take, which hardly grow
+   with the corpus (those of frequent shingles do).
 3. A key's list is known by its head, the smallest id in it. Each set is first
    compared with the head that it shares most keys with; connected sets are
    then merged. Sets that share a head (so all that share a key) and are still
    in different components are compared with each other, the likeliest partner
-   in each component first. So a group of n near copies costs about n
+   in each component first. A set leaves the heads that it shares fewest lists
+   with, as long as those are fewer than half of the L that any link has, so
+   linked sets still meet while sets with a few chance shingles don't.
+   So a group of n near copies costs about n
    comparisons, a pair is met once for each shared head rather than for each
    shared key, and no link between components is lost. A list names a forest
    of likely pairs over its components first, and others only where one of
@@ -39,12 +44,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.llm.common import connected_components, first_rows, forget, small_batches, sorted_runs, stage_table, unused
 
 SKETCH = 1 << 20
+#: Slots of the sketch in one row.
+SLOTS = 1 << 10
 #: Rows up to which a table of ids is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 #: Sets compared with one list head in one task.
@@ -63,6 +70,7 @@ PARTNERS = 8
 HOT_SHARE = 2000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LISTED = np.uint64(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,6 +97,16 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def in_common(n: int, percent: int) -> int:
+    """How many shingles of the list prefix a set of n shares at least with any set that it links to and that isn't smaller."""
+    return max(1, min(needed(n, percent), 1 + (n - needed(n, percent)) // 3))
+
+
+def slack(n: int, percent: int) -> int:
+    """Shared lists that a set of n may leave: two linked sets that both do so still share one."""
+    return (in_common(needed(n, percent), percent) - 1) // 2
+
+
 def may_differ(n: int, percent: int) -> bool:
     """Whether a set of n shingles can link to a different set at all."""
     return needed(n, percent) < n or 100 * n >= percent * (n + 1)
@@ -114,7 +132,7 @@ def bound(a: bytes, na: int, b: bytes, nb: int) -> int:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    counts, pending, held, total = np.zeros(SKETCH, np.int64), [], 0, 0
+    counts, pending, held = np.zeros(SKETCH, np.int64), [], 0
 
     def flush():
         nonlocal pending, held
@@ -123,8 +141,8 @@ def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             np.add(counts, np.bincount(s.astype(np.int64), minlength=SKETCH), out=counts)
         pending, held = [], 0
 
-    def rows(kind, a, b, c, d):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *(pa.array(x, pa.int64()) for x in (a, b, c, d))], names=["kind", "id", "n", "h1", "h2"])
+    def rows(kind, a, b, c, d, blocks):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *(pa.array(x, pa.int64()) for x in (a, b, c, d)), pa.array(blocks, pa.binary())], names=["kind", "id", "n", "h1", "h2", "counts"])
 
     for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
         ids, ns, h1, h2 = [], [], [], []
@@ -136,25 +154,50 @@ def _summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             h2.append(int(np.bitwise_xor.reduce(_mix(s + _M1)).astype(np.int64)) if len(s) else 0)
             pending.append(s)
             held += len(s)
-            total += len(s)
             if held > 500_000:
                 flush()
-        yield rows(0, ids, ns, h1, h2)
+        yield rows(0, ids, ns, h1, h2, [None] * len(ids))
     flush()
-    hot = np.flatnonzero(counts >= 8 + 4 * total / SKETCH)
-    if len(hot):
-        yield rows(1, hot, counts[hot], np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64))
+    blocks = counts.reshape(-1, SLOTS).astype(np.uint32)
+    some = np.flatnonzero(blocks.any(1))
+    if len(some):
+        yield rows(1, some, *np.zeros((3, len(some)), np.int64), [blocks[k].tobytes() for k in some])
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the sketch, summed; a count stops at 2^32 - 1."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64)
+            sums[k] = np.minimum(sums[k] + x, 2**32 - 1) if k in sums else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], names=["id", "counts"])
+
+
+def _weights(seen: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each slot of the sketch."""
+    blocks = seen.where("kind = 1").select("id", "counts").mapInArrow(_block_sums, "id long, counts binary")
+    weight = np.zeros((SKETCH // SLOTS, SLOTS), np.uint32)
+    for k, x in blocks.repartition("id").mapInArrow(_block_sums, "id long, counts binary").collect():
+        weight[k] = np.frombuffer(x, np.uint32)
+    return weight.reshape(-1)
+
+
+def _list_length(weight: np.ndarray, percent: int) -> float:
+    """Length of a list on average, of the rarest shingles that make up a prefix's share of all, as far as slots show it."""
+    load = np.sort(weight).astype(np.float64)
+    rare = load[np.cumsum(load) <= (100 - percent) / 100 * load.sum()]
+    return float((np.maximum(rare - load.mean(), 0) ** 2).sum() / max(1, rare.sum()))
 
 
-def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, boundary: int, hot) -> Iterator[pa.RecordBatch]:
-    weight = np.zeros(SKETCH, np.uint32)
-    at, count = hot.value
-    weight[at] = count
+def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, boundary: int, shipped) -> Iterator[pa.RecordBatch]:
+    """Keys and bitmaps of the sets; those of lists are the negative ones."""
+    weight = shipped.value
     from_list = needed(boundary + 1, percent)  # a heavy set links to none smaller
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             part = batch.slice(lo, 1000)
-            out_id, out_n, out_keys, out_map = [], [], [], []
+            out_id, out_n, out_keys, out_map, out_slack = [], [], [], [], []
             for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 s = shingles(text, n)
                 if not may_differ(len(s), percent):
@@ -165,30 +208,31 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, boundary: int
                 if len(s) <= boundary and needed(len(s), percent) >= 2:
                     p = s[order[: spare + 2]]
                     x, y = np.triu_indices(len(p), 1)
-                    keys.append(_mix(np.minimum(p[x], p[y]) * _M1 + np.maximum(p[x], p[y])))
+                    keys.append(_mix(np.minimum(p[x], p[y]) * _M1 + np.maximum(p[x], p[y])) & ~_LISTED)
                 if len(s) >= from_list or needed(len(s), percent) < 2:
-                    keys.append(s[order[: spare + 1]])
+                    keys.append(s[order[: spare + in_common(len(s), percent)]] | _LISTED)
                 out_id.append(i)
                 out_n.append(len(s))
                 out_keys.append(np.unique(np.concatenate(keys)).view(np.int64))
                 out_map.append(bitmap(s))
+                out_slack.append(slack(len(s), percent))
             lens = np.cumsum([0, *map(len, out_keys)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(out_keys) if out_keys else np.empty(0, np.int64))), pa.array(out_map, pa.binary())],
-                names=["id", "n", "keys", "map"],
+                [pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(out_keys) if out_keys else np.empty(0, np.int64))), pa.array(out_map, pa.binary()), pa.array(out_slack, pa.int64())],
+                names=["id", "n", "keys", "map", "slack"],
             )
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets and heads of the keys that two sets or more have.
+    """Sets and heads of the keys that two sets or more have, and whether the key is a list's.
 
     The stream is sorted by key and id; of a batch only the last row waits.
     """
     key, ids, head = (np.empty(0, np.int64) for _ in range(3))
     listed = np.empty(0, bool)  # whether the waiting row is known to be in a list
 
-    def out(i, h, keep):
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, h)], names=["id", "head"])
+    def out(i, h, k, keep):
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, h, k < 0)], names=["id", "head", "listed"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -203,10 +247,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[:-1] |= same[1:]
         if len(listed):
             keep[0] |= listed[0]
-        yield out(i[:-1], h[:-1], keep[:-1])
+        yield out(i[:-1], h[:-1], k[:-1], keep[:-1])
         key, ids, head, listed = k[-1:], i[-1:], h[-1:], keep[-1:]
     if len(key):
-        yield out(ids, head, listed)
+        yield out(ids, head, key, listed)
 
 
 def _boundary(sizes: list[tuple[int, int]], list_length: float, percent: int) -> int:
@@ -221,7 +265,7 @@ def _boundary(sizes: list[tuple[int, int]], list_length: float, percent: int) ->
         for s, many in sizes:
             spare = s - needed(s, percent)
             subsets = (spare + 2) * (spare + 1) / 2 * 10
-            scan = (spare + 1) * (10 + list_length)
+            scan = (spare + in_common(s, percent)) * (10 + list_length)
             total += many * (subsets if s <= cut else 0) + many * (scan if s >= needed(cut + 1, percent) else 0)
         if cost is None or total < cost:
             best, cost = cut, total
@@ -508,7 +552,7 @@ def _key_loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(reps: DataFrame) -> DataFrame:
-    """id, head and how many keys they share, for every key of two sets or more."""
+    """id, head and how many keys they share, for every key of two sets or more, without the heads that a set may leave."""
     entries = reps.select(F.explode("keys").alias("key"), "id")
     loads = reps.select("keys").mapInArrow(_key_loads, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     loads = stage_table(loads)  # SKETCH rows at most
@@ -521,8 +565,11 @@ def _shared(reps: DataFrame) -> DataFrame:
     firsts = stage_table(common.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head"))
     heads = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     rest = entries.join(slots, "slot", "left_anti").select("key", "id").repartition("key").sortWithinPartitions("key", "id")
-    pairs = rest.mapInArrow(_lists, "id long, head long").union(common.join(heads, "key").select("id", "head"))
-    out = stage_table(pairs.groupBy("id", "head").agg(F.count("*").alias("keys")))
+    pairs = rest.mapInArrow(_lists, "id long, head long, listed boolean").union(common.join(heads, "key").select("id", "head", F.expr("key < 0")))
+    met = pairs.groupBy("id", "head").agg(F.count("*").alias("keys"), F.count_if("listed").alias("lists"))
+    met = met.join(reps.groupBy("id").agg(F.min("slack").alias("slack")), "id")  # rows may share an id
+    fewest = Window.partitionBy("id").orderBy(F.expr("keys > lists"), "lists", "head").rowsBetween(Window.unboundedPreceding, 0)
+    out = stage_table(met.withColumn("left", F.sum("lists").over(fewest)).where("keys > lists or left > slack").select("id", "head", "keys"))
     forget(loads, firsts)
     return out
 
@@ -535,22 +582,20 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, boundary: int | N
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     spark = d.sparkSession
     small_batches(spark)
-    seen = stage_table(d.mapInArrow(lambda x: _summaries(x, n), "kind byte, id long, n long, h1 long, h2 long"))
+    seen = stage_table(d.mapInArrow(lambda x: _summaries(x, n), "kind byte, id long, n long, h1 long, h2 long, counts binary"))
     rows = seen.where("kind = 0").select("id", "n", "h1", "h2")
 
-    hot = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # SKETCH rows at most
-    at, count = hot["id"].to_numpy(np.int64), np.minimum(hot["n"].to_numpy(np.int64), 2**32 - 1).astype(np.uint32)
-    shipped = spark.sparkContext.broadcast((at, count))
+    weight = _weights(seen)
+    shipped = spark.sparkContext.broadcast(weight)
     step = F.pow(F.lit(1.1), F.floor(F.log(1.1, "n"))).cast("long")
     sizes = [(int(r[0]), int(r[1])) for r in rows.where("n > 0").groupBy(step.alias("s")).count().collect()]
     if boundary is None:
-        words = sum(s * c for s, c in sizes)
-        boundary = _boundary(sizes, float((count.astype(np.float64) ** 2).sum()) / max(1, words), percent)
+        boundary = _boundary(sizes, _list_length(weight, percent), percent)
 
     members = _copies(rows.where("n > 0"), sum(c for _, c in sizes))
     copied = stage_table(members.groupBy("id").agg(F.max(F.expr("int(id = rep)")).alias("own")).where("own = 0").select("id"))
     copies = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
-    keyed = d.mapInArrow(lambda x: _keys(x, n, percent, boundary, shipped), "id long, n long, keys array<long>, map binary")
+    keyed = d.mapInArrow(lambda x: _keys(x, n, percent, boundary, shipped), "id long, n long, keys array<long>, map binary, slack long")
     reps = stage_table(keyed.join(copies, "id", "left_anti"))
 
     shared = _shared(reps)

@@ -120,6 +120,33 @@ def test_jaccard_meets_all_blocks_of_a_long_list(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == linked(rows, 4, 80)
 
 
+def test_jaccard_writes_no_more_keys_for_common_passages(spark, monkeypatch):
+    """Passages in many texts must not make their sets enumerate pairs of shingles, nor meet by them."""
+    rng, seen, shared = random.Random(8), {}, jaccard._shared
+
+    def counted(reps):
+        out = shared(reps)
+        seen.update(keys=reps.selectExpr("sum(size(keys))").first()[0], met=out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_shared", counted)
+    passages = [words(rng, 60, 10**6) for _ in range(3)] + [words(rng, 12, 10**6) for _ in range(60)]
+    rows = [(i, " ".join((words(rng, 130, 10**6), passages[i % 3], passages[3 + i % 60])), "a") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + f" tail{i}", "b") for i in range(10)]
+    got = jaccard.components(table(spark, rows), 4, 85)
+    assert sorted(tuple(r) for r in got.collect()) == linked(rows, 4, 85)
+    assert seen["keys"] <= 50 * len(rows) and seen["met"] <= 40
+
+
+@pytest.mark.parametrize("percent", [30, 80, 85])
+def test_jaccard_linked_sets_keep_a_list_that_both_are_in(percent):
+    for a in range(1, 300):
+        for b in range(a, a * 100 // percent + 1):
+            shared = jaccard.in_common(a, percent)
+            assert jaccard.slack(a, percent) + jaccard.slack(b, percent) < shared <= jaccard.in_common(b, percent)
+        assert jaccard.in_common(a, percent) <= jaccard.needed(a, percent)
+
+
 def test_jaccard_forest_spans_by_the_largest_shares():
     rng = np.random.default_rng(5)
     for _ in range(50):
